@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_column, long_rows, number, numeric_columns, validate_columns
 from ..functions.hashing import SEED, row_hash
@@ -92,16 +92,15 @@ def normality_test(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     """p value of the skewness-kurtosis test and whether it exceeds 0.05; too few values are not normal."""
     names = validate_columns(df, columns or numeric_columns(df))
 
-    def p(i: int) -> Column:
-        return normality_p(F.col(f"n{i}").cast("double"), F.col(f"skew{i}"), F.col(f"kurt{i}"))
-
-    return long_rows(
+    rows = long_rows(
         _moments(df, names),
         [
-            {"column": F.lit(c), "p_value": p(i), "is_normal": F.coalesce(p(i) > 0.05, F.lit(False))}
+            {"column": F.lit(c), "n": F.col(f"n{i}").cast("double"), "skew": F.col(f"skew{i}"), "kurt": F.col(f"kurt{i}")}
             for i, c in enumerate(names)
         ],
     )
+    p = normality_p(F.col("n"), F.col("skew"), F.col("kurt"))
+    return rows.select("column", p.alias("p_value")).withColumn("is_normal", F.coalesce(F.col("p_value") > 0.05, F.lit(False)))
 
 
 def _farthest(i: int) -> Column:
@@ -136,7 +135,7 @@ def _sigma_rule(df: DataFrame, columns: list[str] | None, spread: str) -> DataFr
 def outliers_iqr(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The fences 1.5 IQR outside the quartiles and the number of values beyond them."""
     names = validate_columns(df, columns or numeric_columns(df))
-    fences = iqr_fences(df, names)
+    fences = {c: [F.lit(x).cast("double") for x in f] for c, f in iqr_fences(df, names).items()}
     aggs = [F.count_if(~number(df, c).between(*fences[c])).alias(f"o{i}") for i, c in enumerate(names)]
     return long_rows(
         df.agg(*aggs),
@@ -153,13 +152,12 @@ def outliers_iqr(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def iqr_fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[Column, Column]]:
+def iqr_fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
     quart = exact_quantiles(df, columns, [0.25, 0.75])
     out = {}
     for c in columns:
         q1, q3 = quart[c][0.25], quart[c][0.75]
-        low, high = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-        out[c] = (F.lit(low).cast("double"), F.lit(high).cast("double"))
+        out[c] = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
     return out
 
 
@@ -252,14 +250,22 @@ def has_outliers(
     return out.withColumn("has_outliers", verdict)
 
 
-def ks_statistics(df: DataFrame, columns: list[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
+def ks_statistics(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    bucket_rows: int | None = None,
+    known: dict[str, dict] | None = None,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
     """Kolmogorov-Smirnov distance of each standardised column to five fitted families.
 
     Normal, uniform and exponential are maximum-likelihood fits; lognormal and gamma use moments
-    around an origin one percent of the range below the minimum.
+    around an origin one percent of the range below the minimum. ``known`` and ``ranked`` take
+    :func:`moments` and ``sorted_counts`` of the same columns if they are at hand.
     """
     names = validate_columns(df, columns or numeric_columns(df))
-    known = {c: m for c, m in moments(df, names).items() if m["n"] >= 2 and m["std"]}
+    ranked = sorted_counts(df, names, bucket_rows) if ranked is None else ranked
+    known = {c: m for c, m in (known or moments(df, names)).items() if m["n"] >= 2 and m["std"]}
     names = [c for c in names if c in known]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"ks_{f} double" for f in FAMILIES))
@@ -288,7 +294,7 @@ def ks_statistics(df: DataFrame, columns: list[str] | None = None, bucket_rows:
             out = F.when(F.col("column") == c, F.lit(float(params[c][k]))).otherwise(out)
         return out
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def gamma_cdf(column: pd.Series, z: pd.Series) -> pd.Series:
         out = pd.Series(0.0, index=z.index)
         for c in column.unique():
@@ -297,7 +303,7 @@ def ks_statistics(df: DataFrame, columns: list[str] | None = None, bucket_rows:
             out[at] = gamma_p(loc * loc, (z[at].to_numpy() - loc) * -loc)
         return out
 
-    ranked = sorted_counts(df, names, bucket_rows).withColumn("z", (F.col("value") - param(0)) / param(1))
+    ranked = ranked.filter(F.col("column").isin(names)).withColumn("z", (F.col("value") - param(0)) / param(1))
     low, high, loc = param(2), param(3), param(4)
     zc = F.col("z")
     cdf = {
@@ -315,11 +321,13 @@ def ks_statistics(df: DataFrame, columns: list[str] | None = None, bucket_rows:
     )
 
 
-def identify_distribution(df: DataFrame, columns: list[str] | None = None, families: Sequence[str] = FAMILIES) -> DataFrame:
+def identify_distribution(
+    df: DataFrame, columns: list[str] | None = None, families: Sequence[str] = FAMILIES, **shared
+) -> DataFrame:
     """The family with the smallest KS distance; text columns are categorical, others without a fit unknown."""
     names = validate_columns(df, columns or df.columns)
     numeric = [c for c in names if c in numeric_columns(df)]
-    ks = ks_statistics(df, numeric) if numeric else None
+    ks = ks_statistics(df, numeric, **shared) if numeric else None
     kinds = long_rows(
         df.sparkSession.range(1),
         [{"column": F.lit(c), "kind": F.lit("unknown" if c in numeric else "categorical")} for c in names],
@@ -332,14 +340,21 @@ def identify_distribution(df: DataFrame, columns: list[str] | None = None, famil
     )
 
 
-def spatial_correlation(df: DataFrame, columns: list[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
+def spatial_correlation(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    bucket_rows: int | None = None,
+    known: dict[str, dict] | None = None,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
     """1 - mean distance to the nearest min(3, n - 1) other values / population std; 0 below three values.
 
     In one dimension the three nearest lie within three places in sorted order, so equal values are
     counted once and each distinct value looks at three distinct values on either side.
     """
     names = validate_columns(df, columns or numeric_columns(df))
-    ranked = sorted_counts(df, names, bucket_rows).select("column", "_bucket", "value", "n", "total")
+    ranked = sorted_counts(df, names, bucket_rows) if ranked is None else ranked
+    ranked = ranked.select("column", "_bucket", "value", "n", "total")
     ranked = with_halo(ranked, ["column"], "value", NEIGHBOURS, NEIGHBOURS)
     line = Window.partitionBy("column", "_bucket").orderBy("value")
     k = F.least(F.lit(NEIGHBOURS), F.col("total") - 1).cast("int")
@@ -355,11 +370,10 @@ def spatial_correlation(df: DataFrame, columns: list[str] | None = None, bucket_
     mean = F.aggregate("near", F.lit(0.0), lambda a, x: a + x) / k
     rows = rows.filter(F.col("total") >= 3).select("column", "value", "n", mean.alias("mean"))
     weighted = rows.groupBy("column").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("distance"))
-    spread = long_rows(
-        _moments(df, names), [{"column": F.lit(c), "std": F.col(f"std{i}")} for i, c in enumerate(names)]
-    )
+    known = known or moments(df, names)
+    spread = df.sparkSession.createDataFrame([(c, known[c]["std"]) for c in names], "column string, std double")
     score = F.when(F.col("std") > 0, 1 - F.col("distance") / F.col("std"))
-    return spread.join(weighted, "column", "left").select("column", F.coalesce(score, F.lit(0.0)).alias("spatial_correlation"))
+    return spread.join(F.broadcast(weighted), "column", "left").select("column", F.coalesce(score, F.lit(0.0)).alias("spatial_correlation"))
 
 
 def autocorr_lag1(

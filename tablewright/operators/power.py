@@ -8,14 +8,14 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import number, numeric_columns, replace_columns, validate_choice, validate_columns
 from .ordering import sorted_counts
 
 METHODS = ["yeo-johnson", "box-cox", "quantile_normal", "quantile_uniform"]
-GRID = 25
-PASSES = 4
+GRID = 11
+PASSES = 5
 LAMBDA_RANGE = (-5.0, 5.0)
 QUANTILES = 1000
 CLIP = 1e-7
@@ -146,7 +146,7 @@ class QuantileModel:
         bell = NormalDist()
         ends = (bell.inv_cdf(CLIP), bell.inv_cdf(1 - CLIP))
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def forward(x: pd.Series) -> pd.Series:
             v = x.to_numpy(dtype=float)
             # The mean of both directions puts a run of equal references at its middle.
@@ -163,7 +163,7 @@ class QuantileModel:
                 p = out
             return pd.Series(np.where(np.isnan(v), np.nan, p)).astype(object).where(~np.isnan(v), None).astype("Float64")
 
-        @F.pandas_udf("double")
+        @F.pandas_udf(T.DoubleType())
         def backward(y: pd.Series) -> pd.Series:
             v = y.to_numpy(dtype=float)
             p = np.array([bell.cdf(q) if q == q else np.nan for q in v]) if normal else v

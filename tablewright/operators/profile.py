@@ -31,13 +31,16 @@ def numeric_profile(
     Columns that are neither numeric nor text stay ``unknown``.
     """
     names = validate_columns(df, columns or df.columns)
+    # Each cell is classified once, in a projection below the counts.
+    text = {i for i, c in enumerate(names) if isinstance(data_type(df, c), T.StringType)}
+    cells = [missing(df, c).alias(f"m{i}") for i, c in enumerate(names)]
+    cells += [classify_numeric_format(names[i]).alias(f"f{i}") for i in sorted(text)]
     aggs: list[Column] = [F.count("*").alias("n")]
-    for i, c in enumerate(names):
-        aggs.append(F.count_if(missing(df, c)).alias(f"m{i}"))
-        if isinstance(data_type(df, c), T.StringType):
-            found = classify_numeric_format(c)
-            aggs += [F.count_if(found == f).alias(f"f{i}_{f}") for f in FORMATS]
-    row = df.agg(*aggs)
+    for i in range(len(names)):
+        aggs.append(F.count_if(f"m{i}").alias(f"m{i}"))
+        if i in text:
+            aggs += [F.count_if(F.col(f"f{i}") == f).alias(f"f{i}_{f}") for f in FORMATS]
+    row = df.select(*cells).agg(*aggs)
     records = []
     for i, c in enumerate(names):
         total, absent = F.col("n"), F.col(f"m{i}")

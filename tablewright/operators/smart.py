@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import is_numeric, numeric_columns, replace_columns, validate_choice, validate_columns
+from ..functions.probability import normality_p
 from .distribution import (
     FAMILIES,
     autocorr_lag1,
     cluster_tendency,
-    distribution_stats,
-    has_outliers,
     identify_distribution,
-    normality_test,
+    iqr_fences,
+    moments,
+    outliers_isoforest,
     spatial_correlation,
 )
 from .impute import fit_simple, impute_iterative, impute_knn
 from .missing import columns_with_missing
+from .ordering import sorted_counts
 from .profile import column_profile
 
 SKEWED = ["exponential", "lognormal", "gamma"]
@@ -43,12 +45,19 @@ def imputation_profile(
     profile = column_profile(df, names)
     if not numeric:
         return _without_shape(profile)
-    shape = distribution_stats(df, numeric).select("column", "skewness", "kurtosis")
+    # Moments, fences and the sorted values are computed once and shared by all shape measures.
+    known = moments(df, numeric)
+    shared = {"known": known, "ranked": sorted_counts(df, numeric)}
+    marked = _outlier_marks(df, key, known, outlier_methods)
+    facts = [(c, m["n"], m["skew"], m["kurt"], marked[c]) for c, m in known.items() if m["n"] >= 2]
+    shape = df.sparkSession.createDataFrame(
+        facts, "column string, n bigint, skewness double, kurtosis double, has_outliers boolean"
+    )
+    p = normality_p(F.col("n").cast("double"), F.col("skewness"), F.col("kurtosis"))
+    shape = shape.withColumn("is_normal", F.coalesce(p > 0.05, F.lit(False))).drop("n")
     parts = [
-        normality_test(df, numeric).select("column", "is_normal"),
-        has_outliers(df, key, numeric, outlier_methods).select("column", "has_outliers"),
-        identify_distribution(df, numeric, families),
-        spatial_correlation(df, numeric),
+        identify_distribution(df, numeric, families, **shared),
+        spatial_correlation(df, numeric, **shared),
         autocorr_lag1(df, order_col, numeric).withColumnRenamed("autocorrelation", "pattern_strength"),
     ]
     for part in parts:
@@ -60,6 +69,25 @@ def imputation_profile(
     return profile.join(F.broadcast(shape), "column", "left")
 
 
+def _outlier_marks(df: DataFrame, key: list[str], known: dict[str, dict], methods: Sequence[str]) -> dict[str, bool]:
+    """Whether any chosen rule fires; the forest is only grown for columns the cheaper rules leave open."""
+    marked = {c: False for c in known}
+    usable = [c for c, m in known.items() if m["n"] >= 2]
+    if "z" in methods:
+        for c in usable:
+            m = known[c]
+            marked[c] = max(m["max"] - m["mean"], m["mean"] - m["min"]) > 3 * m["std"]
+    left = [c for c in usable if not marked[c]]
+    if "iqr" in methods and left:
+        for c, (low, high) in iqr_fences(df, left).items():
+            marked[c] = known[c]["min"] < low or known[c]["max"] > high
+    left = [c for c in usable if not marked[c]]
+    if "forest" in methods and left:
+        for r in outliers_isoforest(df, key, left).collect():
+            marked[r["column"]] = r["has_outliers"]
+    return marked
+
+
 def _without_shape(profile: DataFrame) -> DataFrame:
     none = {c: "double" for c in ("skewness", "kurtosis", "spatial_correlation", "pattern_strength", "cluster_tendency")}
     none |= {"is_normal": "boolean", "has_outliers": "boolean", "distribution_type": "string"}

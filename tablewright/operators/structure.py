@@ -90,19 +90,23 @@ def inferred_types(df: DataFrame, sample: int | None = None, order_col: str | No
 def _tested(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     if not columns:
         return {}
-    aggs = []
+    cells, aggs = [], []
     for i, c in enumerate(columns):
-        value = _numeric(df, c)
-        date = as_column(c) if isinstance(data_type(df, c), (T.TimestampType, T.TimestampNTZType, T.DateType)) else None
-        if isinstance(data_type(df, c), T.StringType):
-            date = parse_date(c)
+        kind = data_type(df, c)
+        if isinstance(kind, T.StringType):
+            date = parse_date(c).isNotNull()
+        else:
+            date = F.lit(isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))) & ~missing(df, c)
+        # Each cell is parsed once, in a projection below the counts.
+        cells += [missing(df, c).alias(f"m{i}"), _numeric(df, c).alias(f"v{i}"), date.alias(f"d{i}")]
+        whole = F.col(f"v{i}") == F.floor(f"v{i}")
         aggs += [
-            F.count_if(~missing(df, c)).alias(f"n{i}"),
-            F.count(value).alias(f"v{i}"),
-            F.count_if(value == F.floor(value)).alias(f"w{i}"),
-            (F.count(date) if date is not None else F.lit(0)).alias(f"d{i}"),
+            F.count_if(~F.col(f"m{i}")).alias(f"n{i}"),
+            F.count(f"v{i}").alias(f"v{i}"),
+            F.count_if(whole).alias(f"w{i}"),
+            F.count_if(f"d{i}").alias(f"d{i}"),
         ]
-    row = df.agg(*aggs).first()
+    row = df.select(*cells).agg(*aggs).first()
     out, rest = {}, []
     for i, c in enumerate(columns):
         n = row[f"n{i}"]
