@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -16,6 +17,11 @@ EMBEDDED = r"^(.*?)\s*\(([^()]*)\)\s*$"
 RANGE = r"^\s*(\d{4})\s*[-/–]\s*(\d{4}|\d{2})\s*$"
 
 
+def strip(value: str | Column) -> Column:
+    """Without white space (line ends included) on either side."""
+    return F.regexp_replace(as_column(value), r"^\s+|\s+$", "")
+
+
 def blank_to_null(value: str | Column, exact: bool = False) -> Column:
     """NULL for text that is empty after stripping; ``exact`` only takes the empty string itself."""
     col = as_column(value)
@@ -32,9 +38,27 @@ def extract_embedded(value: str | Column) -> tuple[Column, Column]:
     )
 
 
+# What each run of date pattern letters looks like.
+DATE_SHAPES = {
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+    "HH": r"\d{2}", "hh": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "a": "(?i:am|pm)",
+}
+
+
+def date_shape(fmt: str) -> str:
+    """A regular expression for text of this date format."""
+    runs = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", fmt)
+    return "^" + "".join(DATE_SHAPES[a + b] if a else re.escape(rest) for a, b, rest in runs) + "$"
+
+
+def try_date(value: Column, fmt: str) -> Column:
+    """The timestamp, or NULL. A failed parse is slow, so only text of the right shape is parsed."""
+    return F.when(value.rlike(date_shape(fmt)), F.try_to_timestamp(value, F.lit(fmt)))
+
+
 def parse_date(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     col = F.trim(as_column(value))
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+    return F.coalesce(*[try_date(col, f) for f in formats])
 
 
 def normalize_dates(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -102,9 +126,9 @@ def serialize_sequence(values: str | Column, sep: str = ".", nan: str = "nan", a
 
 
 def serialize_row(columns: dict[str, str | Column], sep: str = ".", nan: str = "nan") -> Column:
-    """``name: value`` for every column, joined; values are trimmed and missing ones written as ``nan``."""
+    """``name: value`` for every column, joined; values are stripped and missing ones written as ``nan``."""
     parts = [
-        F.concat(F.lit(f"{name}: "), F.coalesce(F.trim(as_column(ref).cast("string")), F.lit(nan)))
+        F.concat(F.lit(f"{name}: "), F.coalesce(strip(as_column(ref).cast("string")), F.lit(nan)))
         for name, ref in columns.items()
     ]
     return F.concat_ws(_separator(sep), *parts)

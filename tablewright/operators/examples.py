@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_column, validate_choice
 from ..functions.hashing import SEED, row_hash
+from ..functions.text import strip
 from .sample import sample_data
 from .vectors import similar_pairs
 
 
 def filter_mispredicted(df: DataFrame, label: str = "label_str", pred: str = "preds") -> DataFrame:
     """Rows whose prediction differs from the label, ignoring case and outer white space."""
-    return df.filter(F.lower(F.trim(as_column(label))) != F.lower(F.trim(as_column(pred))))
+    return df.filter(F.lower(strip(label)) != F.lower(strip(pred)))
 
 
 def random_examples(df: DataFrame, key: str, n: int = 10, seed: int = SEED) -> DataFrame:
@@ -30,7 +31,7 @@ def hard_samples(
 
 
 def hard_pairs(df: DataFrame, key: str, vector: str, n: int, label: str, pred: str, **sizes) -> DataFrame:
-    wrong = F.lower(F.trim(as_column(label))) != F.lower(F.trim(as_column(pred)))
+    wrong = F.lower(strip(label)) != F.lower(strip(pred))
     facts = df.select(as_column(key).alias("i"), as_column(label).alias("l1"), wrong.alias("w1"))
     pairs = similar_pairs(df, key, vector, n, **sizes).join(facts, "i")
     pairs = pairs.join(facts.withColumnsRenamed({"i": "j", "l1": "l2", "w1": "w2"}), "j")
@@ -45,7 +46,7 @@ def distinct_members(pairs: DataFrame, df: DataFrame, key: str, n: int) -> DataF
 
 def balance_yes_no(samples: DataFrame, full: DataFrame, key: str, label: str = "label_str", seed: int = SEED) -> DataFrame:
     """If a few chosen examples lack Yes or No, replace the last one (by key) with one of that class."""
-    said = F.lower(F.trim(as_column(label)))
+    said = F.lower(strip(label))
     has = samples.agg(F.max(said == "yes").alias("yes"), F.max(said == "no").alias("no"), F.max(key).alias("last")).first()
     lacking = "yes" if not has["yes"] else "no" if not has["no"] else None
     if lacking is None:
@@ -57,7 +58,7 @@ def balance_yes_no(samples: DataFrame, full: DataFrame, key: str, label: str = "
 
 def format_examples(examples: DataFrame, order_col: str, text: str = "text", label: str = "label_str") -> DataFrame:
     """One row: ``text label`` per example in the given order, blank lines between, a newline at the end."""
-    line = F.concat(F.trim(as_column(text)), F.lit(" "), F.trim(F.regexp_replace(as_column(label), r"\s+$", "")))
+    line = F.concat(strip(text), F.lit(" "), strip(label))
     lines = F.sort_array(F.collect_list(F.struct(as_column(order_col).alias("o"), line.alias("t"))))
     joined = F.array_join(F.transform(lines, lambda r: r["t"]), "\n\n")
     return examples.agg(F.concat(joined, F.lit("\n")).alias("prompt"))
@@ -65,9 +66,7 @@ def format_examples(examples: DataFrame, order_col: str, text: str = "text", lab
 
 def example_text(df: DataFrame, text: str = "text", label: str = "label_str") -> DataFrame:
     """One line per row; the row-wise part of :func:`format_examples`."""
-    return df.withColumn(
-        "example", F.concat(F.trim(as_column(text)), F.lit(" "), F.trim(F.regexp_replace(as_column(label), r"\s+$", "")))
-    )
+    return df.withColumn("example", F.concat(strip(text), F.lit(" "), strip(label)))
 
 
 def generate_prompt(

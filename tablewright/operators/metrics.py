@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_column, validate_choice
+from ..functions.text import strip
 
 EQUAL_TASKS = ["data_imputation", "entity_matching"]
 PREFIX_TASKS = ["schema_matching", "error_detection_spelling"]
@@ -30,8 +31,8 @@ def _scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 def task_metrics(df: DataFrame, pred: str, gold: str, task: str) -> DataFrame:
     """Accuracy, precision, recall and F1 of text answers; only the labels yes and no enter the last three."""
     validate_choice("task", task, EQUAL_TASKS + PREFIX_TASKS + SUFFIX_TASKS)
-    label = F.lower(F.regexp_replace(as_column(gold), r"^\s+|\s+$", ""))
-    said = F.lower(F.regexp_replace(as_column(pred), r"^\s+|\s+$", ""))
+    label = F.lower(strip(gold))
+    said = F.lower(strip(pred))
     if task in EQUAL_TASKS:
         right = said == label
     elif task in PREFIX_TASKS:

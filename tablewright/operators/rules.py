@@ -9,6 +9,7 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.columns import as_column, validate_columns
+from ..functions.text import try_date
 from ..session import cut_lineage
 from .joins import lookup_join
 
@@ -62,7 +63,7 @@ def spark_date_pattern(fmt: str) -> str:
 
 def violates_date(column: str, fmt: str) -> Column:
     value = F.upper(F.trim(as_column(column))) if "%P" in fmt or "%p" in fmt else F.trim(as_column(column))
-    return as_column(column).isNotNull() & F.try_to_timestamp(value, F.lit(spark_date_pattern(fmt))).isNull()
+    return as_column(column).isNotNull() & try_date(value, spark_date_pattern(fmt)).isNull()
 
 
 def violates_pattern(column: str, pattern: str) -> Column:

@@ -16,6 +16,7 @@ from ..operators.scale import normalize
 from ..operators.smart import impute_smart
 from ..operators.strings import fuzzy_match
 from ..operators.structure import ValueRules, infer_types, normalize_table
+from ..session import write_table
 
 OPERATIONS = ["normalizer", "transformer", "entity_matcher", "imputer", "all"]
 
@@ -47,6 +48,8 @@ def prepare_table(
     profile = numeric_profile(work, min_ratio=min_ratio)
     if typed:
         work, _ = infer_types(work)
+    # The profile reads the table many times; cleaning and parsing are not repeated for each pass.
+    work = write_table(work, "prepared")
     if profile.filter("is_numeric").isEmpty():
         raise ValueError("no numeric column found")
     done, methods = impute_smart(work, order_col, key, **options)
