@@ -83,11 +83,34 @@ def rule_match(t: Tables):
     return matching.rule_match(rows, rows, ["l_orderkey"], {"l_quantity": 3.0, "l_discount": 0.025})
 
 
-@query()
+# Similarity of two short texts in SQL: each character's places in the first text as a bit mask, then one
+# row of the longest-common-subsequence table per character of the second, held in a 128-bit number.
+MASKS = """{name} AS (SELECT x, map_from_entries(list({{'k': ch, 'v': mask}})) AS m FROM (
+    SELECT x, ch, sum(1::HUGEINT << (i - 1))::HUGEINT AS mask FROM (
+      SELECT x, unnest(string_split(x, '')) AS ch, unnest(range(1, length(x) + 1)) AS i FROM (SELECT DISTINCT x FROM ({texts}))) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+def masks_sql(texts: str, name: str = "masks") -> str:
+    return MASKS.format(texts=texts, name=name)
+
+
+def ratio_sql(a: str, b: str, m: str) -> str:
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    hits = f"list_transform(string_split({b}, ''), lambda c: coalesce({m}[c], 0::HUGEINT))"
+    common = f"length({a}) - bit_count(list_reduce({hits}, lambda v, x: ((v + (v & x)) | (v - (v & x))) & {full}, {full}))"
+    return f"(round_even(200.0 * ({common}) / (length({a}) + length({b})), 0) / 100)"
+
+
+@query(
+    f"""WITH {masks_sql('SELECT url AS x FROM pages')},
+    p AS (SELECT a.page_id AS page_id_1, b.page_id AS page_id_2, {ratio_sql('a.url', 'b.url', 'masks.m')} AS similarity
+      FROM pages a JOIN masks ON x = a.url JOIN pages b ON 2 * least(length(a.url), length(b.url)) >= 0.9 * (length(a.url) + length(b.url)))
+    SELECT page_id_1, page_id_2, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.95"""
+)
 def fuzzy_match(t: Tables):
     pages = t.pages.select("page_id", "url")
-    found = strings.fuzzy_match(pages, pages, ["url"], 0.85)
-    return found.select("page_id_1", "page_id_2", "similarity")
+    found = strings.fuzzy_match(pages, pages, ["url"], 0.95)
+    return rounded(found.select("page_id_1", "page_id_2", "similarity"))
 
 
 def products(t: Tables, large: bool):
@@ -96,18 +119,54 @@ def products(t: Tables, large: bool):
     return rows.select(name.alias("name"), F.col("p_type").alias("kind")).distinct()
 
 
-@query()
+PRODUCTS = f"""WITH a AS (SELECT DISTINCT p_name AS name, p_type AS kind FROM part WHERE p_size <= 25),
+  b AS (SELECT DISTINCT replace(p_name, 'small', 'smal') AS name, p_type AS kind FROM part WHERE p_size > 25),
+  {masks_sql('SELECT name AS x FROM a UNION ALL SELECT kind FROM a')},
+  s AS (SELECT a.name AS name_1, a.kind AS kind_1, b.name AS name_2, b.kind AS kind_2,
+    ({ratio_sql('a.name', 'b.name', 'n.m')} + {ratio_sql('a.kind', 'b.kind', 'k.m')}) / 2 AS similarity
+    FROM a JOIN masks n ON n.x = a.name JOIN masks k ON k.x = a.kind, b)"""
+
+
+@query(f"{PRODUCTS} SELECT name_1, kind_1, name_2, kind_2, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.9")
 def fuzzy_match_columns(t: Tables):
-    return strings.fuzzy_match(products(t, False), products(t, True), ["name", "kind"], 0.9)
+    return rounded(strings.fuzzy_match(products(t, False), products(t, True), ["name", "kind"], 0.9))
 
 
-@query()
+@query(
+    f"""{PRODUCTS}, same AS (SELECT * FROM s WHERE name_1 = name_2 AND kind_1 = kind_2)
+    SELECT name_1, kind_1, name_2, kind_2, 1.0 AS similarity, 'exact' AS method FROM same
+    UNION ALL SELECT name_1, kind_1, name_2, kind_2, round(similarity, 6), 'fuzzy' FROM s WHERE similarity >= 0.9
+      AND name_1 || '|' || kind_1 NOT IN (SELECT name_1 || '|' || kind_1 FROM same)
+      AND name_2 || '|' || kind_2 NOT IN (SELECT name_2 || '|' || kind_2 FROM same)"""
+)
 def hybrid_match(t: Tables):
-    return matching.hybrid_match(products(t, False), products(t, True), ["name", "kind"], 0.9)
+    return rounded(matching.hybrid_match(products(t, False), products(t, True), ["name", "kind"], 0.9))
 
 
-@query()
+@query(
+    f"""{PRODUCTS}, f AS (SELECT * FROM s WHERE similarity >= 0.9),
+    c AS (SELECT 'name' AS column_1, 'name' AS column_2, name_1 AS p, name_2 AS q FROM f UNION ALL SELECT 'name', 'kind', name_1, kind_2 FROM f
+      UNION ALL SELECT 'kind', 'name', kind_1, name_2 FROM f UNION ALL SELECT 'kind', 'kind', kind_1, kind_2 FROM f)
+    SELECT column_1, column_2, round(avg({ratio_sql('p', 'q', 'masks.m')}), 6) AS similarity FROM c JOIN masks ON x = p GROUP BY 1, 2"""
+)
+def column_similarity_matrix(t: Tables):
+    found = strings.fuzzy_match(products(t, False), products(t, True), ["name", "kind"], 0.9)
+    return rounded(matching.column_similarity_matrix(found, ["name", "kind"]))
+
+
+def _shelf_sql(i: int) -> str:
+    return f"SELECT p_name || '{['', 's', 'x'][i]}' AS name, min(p_partkey) AS id FROM part WHERE p_brand = 'Brand#{i + 1}' GROUP BY 1"
+
+
+@query(
+    f"""WITH a AS ({_shelf_sql(0)}), b AS ({_shelf_sql(1)}), c AS ({_shelf_sql(2)}), {masks_sql('SELECT name AS x FROM a')},
+    ab AS (SELECT a.id AS entity1, b.id AS entity2, {ratio_sql('a.name', 'b.name', 'm')} AS s FROM a JOIN masks ON x = a.name, b),
+    ac AS (SELECT a.id AS entity1, c.id AS entity3, {ratio_sql('a.name', 'c.name', 'm')} AS s FROM a JOIN masks ON x = a.name, c)
+    SELECT entity1, entity2, entity3, round((ab.s + ac.s) / 2, 6) AS score FROM ab JOIN ac USING (entity1) WHERE ab.s >= 0.8 AND ac.s >= 0.8"""
+)
 def three_way_match(t: Tables):
+    """Three brands' product lists, two of them with a letter added to every name."""
+
     def shelf(i: int):
         name = F.concat("p_name", F.lit(["", "s", "x"][i]))
         return t.part.filter(F.col("p_brand") == f"Brand#{i + 1}").groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id"))
@@ -228,9 +287,3 @@ def filter_mispredicted(t: Tables):
     rows = labelled_vectors(t).select("vec_id", "label", "guess")
     text = rows.withColumns({"label_str": F.concat(F.lit(" L"), F.col("label")), "preds": F.concat(F.lit("l"), F.col("guess"), F.lit(" "))})
     return examples.filter_mispredicted(text).select("vec_id", "label", "guess")
-
-
-@query()
-def column_similarity_matrix(t: Tables):
-    found = strings.fuzzy_match(products(t, False), products(t, True), ["name", "kind"], 0.9)
-    return rounded(matching.column_similarity_matrix(found, ["name", "kind"]))
