@@ -58,7 +58,8 @@ def try_date(value: Column, fmt: str) -> Column:
 
 def parse_date(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     col = F.trim(as_column(value))
-    return F.coalesce(*[try_date(col, f) for f in formats])
+    any_shape = "|".join(date_shape(f) for f in formats)
+    return F.when(col.rlike(any_shape), F.coalesce(*[try_date(col, f) for f in formats]))
 
 
 def normalize_dates(value: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

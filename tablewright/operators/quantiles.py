@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import number
@@ -95,19 +96,28 @@ def _inside(df: DataFrame, cols: dict[str, Column], targets: list[_Target]) -> d
     by_column: dict[str, list[tuple[float, float]]] = {}
     for t in targets:
         by_column.setdefault(t.column, []).append((t.low, t.high))
-    cells, names = [], list(by_column)
+    names = list(by_column)
+    wide = df.select(*[cols[c].alias(f"v{k}") for k, c in enumerate(names)])
+    cells = []
     for k, c in enumerate(names):
         merged: list[list[float]] = []
         for low, high in sorted(by_column[c]):
-            if merged and low <= merged[-1][1]:
+            if merged and low <= math.nextafter(merged[-1][1], math.inf):
                 merged[-1][1] = max(merged[-1][1], high)
             else:
                 merged.append([low, high])
-        slot = F.lit(2 * len(merged))
-        for i, (low, high) in reversed(list(enumerate(merged))):
-            slot = F.when(cols[c] < low, 2 * i).when(cols[c] <= high, 2 * i + 1).otherwise(slot)
-        cells.append(F.struct(F.lit(k).alias("c"), slot.alias("slot"), cols[c].alias("v")))
-    rows = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*").filter(F.col("v").isNotNull())
+        # Ranges alternate between gaps (even slots) and brackets (odd slots, both ends inside).
+        edges = [e for low, high in merged for e in (low, math.nextafter(high, math.inf))]
+        inner = [e for e in edges if math.isfinite(e)]
+        slot = F.lit(1)
+        if inner:
+            cut = Bucketizer(
+                splits=[-math.inf, *inner, math.inf], inputCol=f"v{k}", outputCol=f"s{k}", handleInvalid="keep"
+            )
+            wide = cut.transform(wide)
+            slot = F.col(f"s{k}").cast("int") + (0 if math.isfinite(edges[0]) else 1)
+        cells.append(F.struct(F.lit(k).alias("c"), slot.alias("slot"), F.col(f"v{k}").alias("v")))
+    rows = wide.select(F.explode(F.array(*cells)).alias("r")).select("r.*").filter(F.col("v").isNotNull())
     value = F.when(F.col("slot") % 2 == 1, F.col("v"))
     counts = rows.groupBy("c", "slot", value.alias("v")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("c").orderBy("slot", "v").rowsBetween(Window.unboundedPreceding, 0))

@@ -225,8 +225,8 @@ def transform_yeojohnson(t: Tables):
 
 @query()
 def transform_boxcox(t: Tables):
-    model = power.fit_power(t.events, "box-cox", ["value"])
-    return rounded(model.transform(t.events).select("event_id", "value"), 4)
+    model = power.fit_power(t.part, "box-cox", ["p_retailprice"])
+    return rounded(model.transform(t.part).select("p_partkey", "p_retailprice"), 4)
 
 
 _cdf = """WITH q AS (SELECT unnest(range(1000)) AS i, unnest(quantile_cont(value, {probs})) AS q FROM events),
