@@ -92,7 +92,10 @@ def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/(
 
 
 def general_format(value: Column, digits: int = 6) -> Column:
-    """C-style ``%g``: ``digits`` significant digits without trailing zeros."""
+    """C-style ``%g``: ``digits`` significant digits without trailing zeros.
+
+    Rounds the shortest decimal form of the double half up, where C rounds its binary value.
+    """
     magnitude = F.abs(value)
     scientific = F.format_string(f"%.{digits - 1}e", value)
     exponent = F.regexp_extract(scientific, r"e([-+]\d+)$", 1).cast("int")

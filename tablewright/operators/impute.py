@@ -109,7 +109,9 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
     if size == 1:
         return fit_simple(df, "mean", names).transform(df)
     means = fit_simple(df, "mean", names)
-    vector = F.array(*[number(df, c) for c in names])
+    # Grouping turns -0.0 into 0.0, so the search keys must not tell them apart either.
+    value = {c: F.when(number(df, c) == 0, 0.0).otherwise(number(df, c)) for c in names}
+    vector = F.array(*value.values())
     rows = df.select(_pattern(df, names).alias("p"), vector.alias("v"))
     counts = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
     full = (1 << size) - 1
@@ -149,7 +151,7 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
     table = filled.groupBy("_p", "_q").agg(*[F.max(F.when(F.col("_t") == i, F.col("fill"))).alias(f"_f{i}") for i in range(size)])
     cases = None
     for p in [p for p in counts if p not in (0, full)]:
-        coords = F.to_json(F.array(*[number(df, names[i]) for i in _bits(p, size)]))
+        coords = F.to_json(F.array(*[value[names[i]] for i in _bits(p, size)]))
         cases = F.when(F.col("_p") == p, coords) if cases is None else cases.when(F.col("_p") == p, coords)
     keyed = df.withColumn("_p", _pattern(df, names)).withColumn("_q", cases)
     joined = lookup_join(keyed, table, ["_p", "_q"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import as_column
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 HOT_SHARE = 1000
 
 
@@ -17,8 +17,8 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
 
     At most ``max_rows + 1`` rows ever reach the driver.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return None
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
