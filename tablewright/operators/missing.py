@@ -49,7 +49,9 @@ def missing_notes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``name: count (percent%)`` per column that has missing cells."""
     stats = missing_stats(df, columns).filter(F.col("missing_count") > 0)
     return stats.select(
-        "column", F.format_string("%s: %d (%.1f%%)", "column", "missing_count", "missing_percentage").alias("note")
+        "column",
+        # Half to even before formatting, as C-style formatting rounds an exact half.
+        F.format_string("%s: %d (%.1f%%)", "column", "missing_count", F.bround("missing_percentage", 1)).alias("note"),
     )
 
 
