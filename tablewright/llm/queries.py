@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, sharding
+from . import arrowfile, packing, sharding, simhash
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,8 +24,16 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrowfile.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), width=4, distance=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op6_token_files]
+    found = [op1_shards, op6_token_files, op7_packing, op10_simhash]
     return {f.__name__: f for f in found}
 
 
