@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, packing, sharding, simhash
+from . import arrowfile, packing, quality, sharding, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,10 @@ def op1_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrowfile.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -28,12 +32,17 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score_documents(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=4, distance=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op6_token_files, op7_packing, op10_simhash]
+    found = [op1_shards, op3_toxicity, op6_token_files, op7_packing, op8_quality, op10_simhash]
     return {f.__name__: f for f in found}
 
 
