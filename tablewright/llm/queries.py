@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, packing, quality, sharding, simhash, toxicity
+from . import arrowfile, decontam, packing, quality, sharding, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,6 +20,11 @@ def op1_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), 24)
 
 
+def op2_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return leaks.drop("text_key")
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -42,7 +47,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op3_toxicity, op6_token_files, op7_packing, op8_quality, op10_simhash]
+    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op6_token_files, op7_packing, op8_quality, op10_simhash]
     return {f.__name__: f for f in found}
 
 
