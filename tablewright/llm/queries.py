@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, decontam, packing, quality, sharding, simhash, toxicity
+from . import arrowfile, decontam, packing, quality, secrets, sharding, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents")).drop("text_key")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return arrowfile.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
@@ -47,7 +51,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op6_token_files, op7_packing, op8_quality, op10_simhash]
+    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op5_secrets, op6_token_files, op7_packing, op8_quality, op10_simhash]
     return {f.__name__: f for f in found}
 
 
