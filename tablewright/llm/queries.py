@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, decontam, packing, quality, secrets, sharding, simhash, toxicity
+from . import arrowfile, decontam, lattice, packing, quality, secrets, sharding, simhash, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -46,12 +46,16 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op9_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"), 0.93)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), width=4, distance=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op5_secrets, op6_token_files, op7_packing, op8_quality, op10_simhash]
+    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op5_secrets, op6_token_files, op7_packing, op8_quality, op9_lattice, op10_simhash]
     return {f.__name__: f for f in found}
 
 
