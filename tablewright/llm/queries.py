@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowfile, decontam, lattice, packing, quality, secrets, sharding, simhash, toxicity
+from . import arrowfile, decontam, lattice, packing, quality, secrets, sharding, simhash, suffixes, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"))
+
+
 def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents")).drop("text_key")
 
@@ -55,7 +59,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op5_secrets, op6_token_files, op7_packing, op8_quality, op9_lattice, op10_simhash]
+    found = [op1_shards, op2_benchmark_leaks, op3_toxicity, op4_suffixes, op5_secrets, op6_token_files, op7_packing, op8_quality, op9_lattice, op10_simhash]
     return {f.__name__: f for f in found}
 
 
