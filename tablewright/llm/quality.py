@@ -220,14 +220,14 @@ def score_documents(docs: DataFrame, model: CoTrained) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
     """The documents that the model keeps, with all their columns."""
-    inputs = F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("n_chars", "double"), ("text", "string"))])
+    kinds = {"lang": pa.string(), "source": pa.string(), "n_chars": pa.float64(), "text": pa.large_string()}
 
-    @F.pandas_udf("boolean")
-    def kept(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        batch = pa.RecordBatch.from_pandas(rows, preserve_index=False, schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.float64()), ("text", pa.large_string())]))
-        for part, data, starts in slices(batch):
-            out.append(model.scores(text_view(data, starts), metadata_view(data, starts, part)) >= KEEP)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inputs = pa.record_batch([batch.column(name).cast(kind) for name, kind in kinds.items()], names=list(kinds))
+            kept = [np.zeros(0, bool)]
+            for rows, data, starts in slices(inputs):
+                kept.append(model.scores(text_view(data, starts), metadata_view(data, starts, rows)) >= KEEP)
+            yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.where(kept(inputs))
+    return docs.mapInArrow(run, docs.schema)

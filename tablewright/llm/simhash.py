@@ -24,13 +24,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import write_table
 from .components import components
-from .textbytes import slices
+from .textbytes import mix, slices
 
 SEED = 42
 CROWD = 2048  # different fingerprints at one key up to which they are compared with each other
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def _ones(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+
+
 def simhash(text: bytes, width: int) -> int:
     """Bit is 1 if set in over half of the hashes of the ``width``-word shingles, repeats included."""
     found = text.translate(_LOWER).split()  # without an argument it splits at 09 to 0D and 20, and nowhere else
@@ -41,11 +49,7 @@ def simhash(text: bytes, width: int) -> int:
     starts = np.append(0, ends[:-1] + 1)
     n = max(1, len(found) - width + 1)
     spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
+    return _ones(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -196,3 +200,150 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, segments
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+# Texts whose word shingles are similar, rather than fingerprints at a given distance. A text with a few words changed differs in
+# many shingles but in few words, so fingerprints of the set of words find the pairs, and fingerprints of the shingles judge them.
+
+SIMILAR = 0.8
+_SEARCH, _CHECK = ("words_a", "words_b"), ("shingles_a", "shingles_b")
+
+
+def text_marks(text: bytes, width: int) -> tuple[int, int, int, int]:
+    """Two fingerprints of the set of words, and two of the shingles."""
+    found = text.translate(_LOWER).split()
+    if not found:
+        return 0, 0, 0, 0
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    n = max(1, len(found) - width + 1)
+    spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
+    shingles = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
+    different = set(found)
+    single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in different), np.uint64, len(different))
+    return _ones(single), _ones(mix(single)), _ones(shingles), _ones(mix(shingles))
+
+
+def _marks(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, starts in slices(batch):
+                raw = data.tobytes()
+                marks = [text_marks(raw[a:b], width) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                columns = [pa.array([m[i] for m in marks], pa.int64()) for i in range(4)]
+                yield pa.record_batch([rows.column("doc_id"), rows.column("text_key"), *columns], names=["doc_id", "text_key", *_SEARCH, *_CHECK])
+
+    return run
+
+
+def _similar(distance: int):
+    """Pairs of places that are similar, among rows of one run: fingerprints of the shingles differ in few enough bits."""
+
+    def near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count((a[i] ^ a[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b[i] ^ b[j]).view(np.uint64)) <= distance
+
+    return near
+
+
+def _compare_texts(distance: int, crowd: int | None):
+    """Task function over rows sorted by key and blocks: links (a, b) of each run as a star; with ``crowd``, the members of longer runs
+    as they are, with b null, instead."""
+    near = _similar(distance)
+    names = ["key", "low", "high", "block", "id", *_CHECK]
+
+    def links(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        run = np.cumsum(np.append(True, (columns["key"][1:] != columns["key"][:-1]) | (columns["low"][1:] != columns["low"][:-1]) | (columns["high"][1:] != columns["high"][:-1])))
+        found = [(np.zeros(0, np.int64),) * 2]
+        at, step = np.arange(len(run)), 1
+        while len(at := at[at < len(run) - step]) and len(at := at[run[at] == run[at + step]]):
+            to = at + step
+            ok = near(columns[_CHECK[0]], columns[_CHECK[1]], at, to)
+            ok &= (columns["low"][at] == columns["high"][at]) | (columns["block"][at] != columns["block"][to])
+            if ok.any():
+                found.append(_star(columns["id"][at[ok]], columns["id"][to[ok]]))
+            step += 1
+        return _star(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(key)], names=["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = {c: np.zeros(0, np.int64) for c in names}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {c: np.concatenate([held[c], batch.column(c).to_numpy()]) for c in names}
+            new = np.append(True, (now["key"][1:] != now["key"][:-1]) | (now["low"][1:] != now["low"][:-1]) | (now["high"][1:] != now["high"][:-1]))
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(new)))
+            out = np.zeros(len(first), bool)
+            if crowd is not None:
+                out = (size > crowd) | (now["key"][first] == crowded if crowded is not None else False)
+                inside = np.repeat(out, size)
+                if inside.any():
+                    yield rows(now["id"][inside], None, now["key"][inside])
+                crowded = now["key"][-1] if out[-1] else None
+            last = np.zeros(len(new), bool)
+            if not out[-1]:
+                last[first[-1] :] = True
+            done = ~last & ~np.repeat(out, size)
+            held = {c: v[last] for c, v in now.items()}
+            if done.any():
+                a, b = links({c: v[done] for c, v in now.items()})
+                yield rows(a, b, np.zeros(len(a), np.int64))
+        if len(held["key"]):
+            a, b = links(held)
+            yield rows(a, b, np.zeros(len(a), np.int64))
+
+    return run
+
+
+def similar_links(texts: DataFrame, distance: int, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between ids of different texts that meet at a key of either word fingerprint and have similar shingles.
+
+    Members of a crowded key are dealt into blocks, and each pair of blocks is compared on its own, so every pair is judged.
+    """
+    bits, masks, tables = 32, _ball(32, 1), []
+    for table, column in enumerate(_SEARCH):
+        for s in range(2):
+            segment = F.shiftrightunsigned(column, s * bits).bitwiseAND(F.lit((1 << bits) - 1))
+            tables += [F.shiftleft(F.lit(2 * table + s).cast("long"), bits) + segment.bitwiseXOR(F.lit(m)) for m in masks]
+    keyed = texts.select(F.explode(F.array(*tables)).alias("key"), "id", *_CHECK)
+    zero = F.lit(0).cast("long")
+    plain = keyed.withColumns({"low": zero, "high": zero, "block": zero}).repartition("key").sortWithinPartitions("key", "id")
+    kinds = "a long, b long, key long"
+    found = write_table(plain.mapInArrow(_compare_texts(distance, crowd), kinds), "similar")
+    crowds = found.where("b IS NULL").select("key", F.col("a").alias("id"))
+    sizes = crowds.groupBy("key").count()
+    links = found.where("b IS NOT NULL").select("a", "b")
+    if crowds.isEmpty():
+        return links
+    met = crowds.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / crowd))
+    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    met = met.select("key", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = met.join(texts.select("id", *_CHECK), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
+    return links.union(dealt.mapInArrow(_compare_texts(distance, None), kinds).select("a", "b"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+    """The documents with the smallest id of each group of similar texts, with all their columns.
+
+    Similarity is the share of equal bits that texts with this Jaccard similarity of their shingles have on average. Documents are told apart
+    by id and text; of repeated rows one stays.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", "text_key", *_SEARCH, *_CHECK))
+    marks = write_table(slim.mapInArrow(_marks(width), kinds), "text_marks")
+    identity = F.xxhash64(*_SEARCH, *_CHECK).alias("id")
+    texts = write_table(marks.select(identity, *_SEARCH, *_CHECK).distinct(), "different_texts")
+    # Sets that share a part j of their union have an angle of arccos(2j / (1 + j)) on average.
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    groups = components(similar_links(texts, round(128 * angle + 5), crowd))
+    named = marks.select("doc_id", "text_key", identity).join(groups, F.col("id") == F.col("node"), "left")
+    kept = named.groupBy(F.coalesce("root", "id").alias("of")).agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
+    kept = write_table(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key")), "kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
+    stay = docs.join(kept, same, "left_semi")
+    repeated = not marks.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
+    return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
