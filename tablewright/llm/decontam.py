@@ -184,5 +184,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item leaks into, with all their columns."""
     leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("text_key").alias("leak_key")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64("text") == F.col("leak_key"))
-    return docs.join(write_table(leaks, "leaks"), same, "left_anti")
+    whole = docs.select(F.struct("*").alias("d"))  # so that no column of the documents meets one of the leaks
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("leak_id")) & (F.xxhash64("d.text") == F.col("leak_key"))
+    return whole.join(write_table(leaks, "leaks"), same, "left_anti").select("d.*")

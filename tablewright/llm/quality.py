@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
 
     def part(known_: bool) -> list[np.ndarray]:
         kept = [r for r in got if (r.quality is not None) == known_]
-        return [np.array([np.frombuffer(r[name], "<f4") for r in kept]).reshape(len(kept), -1) for name in ("a", "b")]
+        return [np.array([np.frombuffer(r[name], "<f4") for r in kept]) for name in ("a", "b")]
 
     return co_train(part(True), np.array([r.quality for r in got if r.quality is not None], np.int64), part(False))
 

@@ -1,6 +1,6 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest. DataFrame functions and Spark's own trees only.
 
-A candidate is a long run of key characters with a digit or an assignment in it, or a private key block. The forest sees its length,
+A candidate is a long run of key characters with a digit or an assignment in it or all of capitals, or a private key block. The forest sees its length,
 the transitions between character classes, how much of its letters are words of the corpus, whether it belongs to a path, address or
 link, and the words before it. It is trained on labelled findings; without given ones, those that a strict rule is sure
 of (:func:`sure_label`): known key formats and assignments to a secret's name, against addresses, links, paths and plain words.
@@ -49,7 +49,7 @@ def _share(value: Column, keep: str) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """One row a document and different candidate, with the value inside it, its place and the text around its first place."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9=]")))
+    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9=]|^[A-Z]{16,}[.:]*$")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     runs = rows.select("doc_id", "text_key", "text", F.explode(found).alias("run"))
     placed = runs.withColumn("at", F.expr("locate(run, text)"))
@@ -144,7 +144,9 @@ def find_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     """One row a finding: doc_id, text_key, run (as it stands), value, position (from 1), score, is_secret."""
     found = described(candidates(docs), docs)
     scored = judge(found, found.withColumn("label", sure_label()) if labelled is None else labelled)
-    return scored.select("doc_id", "text_key", "run", "value", "position", "score", (F.col("score") >= threshold).alias("is_secret"))
+    # A published format needs no forest to be believed.
+    secret = (F.col("score") >= threshold) | F.col("value").rlike(KNOWN_FORMATS)
+    return scored.select("doc_id", "text_key", "run", "value", "position", "score", secret.alias("is_secret"))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
@@ -152,8 +154,10 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     secrets = find_secrets(docs).where("is_secret").groupBy(F.col("doc_id").alias("sd"), F.col("text_key").alias("sk"))
     # The different secrets of one document; longer ones first, so that none leaves the rest of another.
     held = write_table(secrets.agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("held")), "secrets")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("sd")) & (F.xxhash64("text") == F.col("sk"))
-    clean = F.aggregate("held", F.col("text"), lambda text, s: F.replace(text, s.value, F.lit(MARK)))
-    joined = docs.join(held, same, "left").withColumn("cleaned", F.when(F.col("held").isNotNull(), clean).otherwise(F.col("text")))
-    changed = {"text": F.col("cleaned"), "n_chars": F.when(F.col("held").isNotNull(), F.length("cleaned")).otherwise(F.col("n_chars"))}
-    return joined.select(*[changed.get(c, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("d"))  # so that no column of the documents meets one of the findings
+    text, id_ = F.col("d.text"), F.col("d.doc_id").cast("long")
+    clean = F.aggregate("held", text, lambda t, s: F.replace(t, s.value, F.lit(MARK)))
+    joined = whole.join(held, id_.eqNullSafe(F.col("sd")) & (F.xxhash64(text) == F.col("sk")), "left")
+    joined = joined.select("d", F.col("held").isNotNull().alias("found"), F.when(F.col("held").isNotNull(), clean).otherwise(text).alias("cleaned"))
+    changed = {"text": F.col("cleaned"), "n_chars": F.when(F.col("found"), F.length("cleaned")).otherwise(F.col("d.n_chars"))}
+    return joined.select(*[changed.get(c, F.col("d")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

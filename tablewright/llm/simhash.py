@@ -167,8 +167,8 @@ def _least_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def fingerprint_links(distinct: DataFrame, distance: int, segments: int = 2, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) that join exactly the fingerprints reachable by steps of at most ``distance`` bits."""
-    if distance > 63 or distance // segments > 2 * (64 // segments):
-        raise ValueError("the distance is too large for these segments")
+    if segments < 2 or distance % 2:
+        raise ValueError("two segments or more, and an even distance, so that balls of half of it meet")
     sorted_keys = _keys(distinct, distance, segments).repartition("key").sortWithinPartitions("key", "fingerprint")
     found = write_table(sorted_keys.mapInArrow(_compare(distance, crowd), "a long, b long"), "fingerprint_links")
     members = found.where("b IS NULL").select(F.col("a").alias("fingerprint")).distinct()
@@ -176,8 +176,6 @@ def fingerprint_links(distinct: DataFrame, distance: int, segments: int = 2, cro
     if members.isEmpty():
         return near
     points = members.select(_points(F.col("fingerprint"), _ball(64, -(-distance // 2))).alias("key"), "fingerprint")
-    if distance % 2:
-        raise ValueError("crowded keys need an even distance")
     met = points.repartition("key").sortWithinPartitions("key", "fingerprint").mapInArrow(_least_of_runs, "a long, b long")
     return near.union(met)
 
@@ -343,7 +341,8 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     named = marks.select("doc_id", "text_key", identity).join(groups, F.col("id") == F.col("node"), "left")
     kept = named.groupBy(F.coalesce("root", "id").alias("of")).agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
     kept = write_table(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key")), "kept")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_key"))
-    stay = docs.join(kept, same, "left_semi")
+    whole = docs.select(F.struct("*").alias("d"))  # so that no column of the documents meets one of the groups
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64("d.text") == F.col("kept_key"))
+    stay = whole.join(kept, same, "left_semi").select("d.*")
     repeated = not marks.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
     return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
