@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, functions as F
 
@@ -14,6 +15,7 @@ NULL_TOKENS = ["N/A", "n/a", "-", "null", "NULL", "None", "nan", "NaN"]
 # Accepted date spellings, tried in this order.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "yyyy.MM.dd", "dd.MM.yyyy", "MMM d, yyyy"]
 EMBEDDED = r"^(.*?)\s*\(([^()]*)\)\s*$"
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 RANGE = r"^\s*(\d{4})\s*[-/–]\s*(\d{4}|\d{2})\s*$"
 
 
@@ -82,12 +84,35 @@ def split_range(value: str | Column) -> tuple[Column, Column]:
     return start, full_end
 
 
-def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/()'&+-") -> Column:
-    """Decode numeric character references, drop characters outside ``keep``, collapse white space."""
+def decode_references(value: str | Column) -> Column:
+    """Text with its character references (``&#46;``, ``&#x2E;``, ``&eacute;``) as the characters they stand for.
+
+    The ampersand's own reference is decoded last, so that what it escapes stays as it is written. Unknown references stay.
+    """
     col = as_column(value)
-    for code, char in (("&#40;", "("), ("&#41;", ")"), ("&#39;", "'"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(code), F.lit(char))
-    kept = F.regexp_replace(col, f"[^{keep}]", "")
+    names = F.create_map(*[F.lit(x) for pair in sorted(name2codepoint.items()) for x in pair])
+
+    def decoded(text: Column, found: Column) -> Column:
+        body = F.substring(found, 2, F.length(found) - 2)
+        code = (
+            F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).try_cast("int"))
+            .when(body.startswith("#"), F.substring(body, 2, 8).try_cast("int"))
+            .otherwise(names[body])
+        )
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        # Four bytes are the character in UTF-32.
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(valid, F.replace(text, found, char)).otherwise(text)
+
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)))
+    last = lambda x: F.lower(x).isin("&amp;", "&#38;", "&#x26;")
+    ordered = F.concat(F.filter(found, lambda x: ~last(x)), F.filter(found, last))
+    return F.when(F.size(found) > 0, F.aggregate(ordered, col, decoded)).otherwise(col)
+
+
+def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/()'&+-") -> Column:
+    """Decode character references, drop characters outside ``keep``, collapse white space."""
+    kept = F.regexp_replace(decode_references(value), f"[^{keep}]", "")
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 

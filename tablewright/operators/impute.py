@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from ..functions.columns import (
     validate_choice,
     validate_columns,
 )
+from ..session import write_table
 from .joins import lookup_join
 from .missing import blanks_to_null, columns_with_missing
 from .quantiles import exact_quantiles
@@ -26,7 +28,7 @@ METHODS = ["mean", "median", "most_frequent", "constant", "knn", "iterative"]
 SCALERS = ["standard", "minmax"]
 NEIGHBOURS = 5
 ROUNDS = 10
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 2_000  # combinations of missing columns up to which their moments are worked on by the driver
 
 
 @dataclass
@@ -88,12 +90,12 @@ def fit_simple(df: DataFrame, method: str, columns: Sequence[str], scale: str |
 
 
 def _pattern(df: DataFrame, columns: Sequence[str]) -> Column:
-    """Bit i is set where column i is present."""
-    return sum((F.when(missing(df, c), 0).otherwise(1 << i) for i, c in enumerate(columns)), F.lit(0)).cast("int")
+    """One character per column: 1 where it is present, else 0."""
+    return F.concat(*[F.when(missing(df, c), "0").otherwise("1") for c in columns])
 
 
-def _bits(pattern: int, size: int) -> list[int]:
-    return [i for i in range(size) if pattern >> i & 1]
+def _present(pattern: str) -> list[int]:
+    return [i for i, mark in enumerate(pattern) if mark == "1"]
 
 
 def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **sizes) -> DataFrame:
@@ -114,16 +116,18 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
     vector = F.array(*value.values())
     rows = df.select(_pattern(df, names).alias("p"), vector.alias("v"))
     counts = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    full = (1 << size) - 1
+    incomplete = [p for p in counts if "0" in p and "1" in p]
     filled = None
-    for p in [p for p in counts if p not in (0, full)]:
-        have = _bits(p, size)
+    for p in incomplete:
+        have = _present(p)
         asked = F.array(*[F.col("v")[i] for i in have])
         queries = rows.filter(F.col("p") == p).select(asked.alias("have")).distinct()
-        for target in [i for i in range(size) if not p >> i & 1]:
+        for target in [i for i in range(size) if p[i] == "0"]:
             found = None
-            for other in [o for o in counts if o >> target & 1 and o & p]:
-                shared = _bits(other & p, size)
+            for other in [o for o in counts if o[target] == "1"]:
+                shared = [i for i in have if other[i] == "1"]
+                if not shared:
+                    continue
                 donors = (
                     rows.filter(F.col("p") == other)
                     .groupBy(F.array(*[F.col("v")[i] for i in shared]).alias("vec"), F.col("v")[target].alias("item"))
@@ -150,8 +154,8 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
     # One row per incomplete combination with the fills of all its missing columns.
     table = filled.groupBy("_p", "_q").agg(*[F.max(F.when(F.col("_t") == i, F.col("fill"))).alias(f"_f{i}") for i in range(size)])
     cases = None
-    for p in [p for p in counts if p not in (0, full)]:
-        coords = F.to_json(F.array(*[value[names[i]] for i in _bits(p, size)]))
+    for p in incomplete:
+        coords = F.to_json(F.array(*[value[names[i]] for i in _present(p)]))
         cases = F.when(F.col("_p") == p, coords) if cases is None else cases.when(F.col("_p") == p, coords)
     keyed = df.withColumn("_p", _pattern(df, names)).withColumn("_q", cases)
     joined = lookup_join(keyed, table, ["_p", "_q"])
@@ -163,24 +167,35 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
 
 @dataclass
 class ChainModel:
-    """Per combination of present columns (bit mask) the affine map from the present values to all columns."""
+    """Column means and the regressions in the order they were made: (column, intercept, coefficients), all on deviations
+    from the means. A missing cell starts at its mean and takes the value of each regression of its column."""
 
     columns: list[str]
-    maps: dict[int, tuple[np.ndarray, np.ndarray]]
+    means: list[float]
+    steps: list[tuple[int, float, list[float]]]
+
+    def deviations(self, df: DataFrame) -> Column:
+        return F.array(*[F.coalesce(number(df, c) - m, F.lit(0.0)) for c, m in zip(self.columns, self.means)])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        names, spark = self.columns, df.sparkSession
-        rows = [(p, [float(x) for x in base], [[float(x) for x in r] for r in coef]) for p, (base, coef) in self.maps.items()]
-        table = F.broadcast(spark.createDataFrame(rows, "_p int, _base array<double>, _coef array<array<double>>"))
-        present = F.array(*[F.coalesce(number(df, c), F.lit(0.0)) for c in names])
-        wide = df.withColumn("_p", _pattern(df, names)).withColumn("_x", present).join(table, "_p", "left")
+        state = df.withColumn("_m", F.array(*[missing(df, c) for c in self.columns])).withColumn("_x", self.deviations(df))
+        done = state.withColumn("_x", apply_steps(F.col("_x"), F.col("_m"), self.steps))
+        new = {c: F.coalesce(number(df, c), F.col("_x")[i] + self.means[i]) for i, c in enumerate(self.columns)}
+        return done.select(*[new[c].alias(c) if c in new else as_column(c) for c in df.columns])
+
 
-        def predicted(i: int) -> Column:
-            products = F.zip_with(F.col("_coef")[i], F.col("_x"), lambda c, x: c * x)
-            return F.aggregate(products, F.col("_base")[i], lambda a, b: a + b)
+def apply_steps(x: Column, gone: Column, steps: list[tuple[int, float, list[float]]]) -> Column:
+    """The deviations ``x`` after the regressions ``steps`` have filled the cells marked in ``gone`` one after the other."""
+    if not steps:
+        return x
+    text = json.dumps([{"c": c, "b": b, "w": w} for c, b, w in steps])
+    listed = F.from_json(F.lit(text), "array<struct<c:int,b:double,w:array<double>>>")  # folded into one literal
 
-        new = {c: F.coalesce(number(df, c), predicted(i)) for i, c in enumerate(names)}
-        return wide.select(*[new[c].alias(c) if c in new else as_column(c) for c in df.columns])
+    def step(now: Column, s: Column) -> Column:
+        value = F.aggregate(F.zip_with(s.w, now, lambda w, v: w * v), s.b, lambda a, v: a + v)
+        return F.transform(now, lambda v, i: F.when((i == s.c) & F.get(gone, i), value).otherwise(v))
+
+    return F.aggregate(listed, x, step)
 
 
 def _bayesian_ridge(n: float, gram: np.ndarray, cross: np.ndarray, target: float) -> np.ndarray:
@@ -204,8 +219,10 @@ def _bayesian_ridge(n: float, gram: np.ndarray, cross: np.ndarray, target: float
     return vectors @ (rotated / (values + lam / alpha))
 
 
-def fit_iterative(df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS, tol: float = 1e-3) -> ChainModel:
-    """Round-robin Bayesian ridge regressions from one pass over the table.
+def fit_iterative(
+    df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS, tol: float = 1e-3, max_patterns: int = MAX_PATTERNS
+) -> ChainModel:
+    """Round-robin Bayesian ridge regressions, from one pass over the table as long as few combinations of columns are missing.
 
     Whatever the round, an imputed cell is an affine function of the row's present values, the same for all
     rows that miss the same columns. So counts, sums and cross products per such group are all the
@@ -225,9 +242,13 @@ def fit_iterative(df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS, t
         *[F.sum(f"d{i}").alias(f"s{i}") for i in range(size)],
         *[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}_{j}") for i, j in upper],
     )
-    stats = grouped.limit(MAX_PATTERNS + 1).collect()
-    if len(stats) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of missing columns; impute fewer columns at once")
+    stats = grouped.limit(max_patterns + 1).collect()
+    shift = [float(m) if m == m else float("nan") for m in means]
+    usable = [i for i in range(size) if means[i] == means[i]]
+    if len(usable) < 2:
+        return ChainModel(names, shift, [])
+    if len(stats) > max_patterns:
+        return _fit_by_passes(df, names, shift, usable, largest, rounds, tol)
     groups = {}
     for r in stats:
         cross = np.zeros((size + 1, size + 1))
@@ -236,45 +257,81 @@ def fit_iterative(df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS, t
         for i, j in upper:
             cross[i + 1, j + 1] = cross[j + 1, i + 1] = r[f"c{i}_{j}"]
         # Rows of the map: (1, x1, ..., xp) as a function of (1, present deviations); missing starts at the mean.
-        present = [1.0] + [float(r["p"] >> i & 1) for i in range(size)]
-        groups[r["p"]] = [np.diag(present), cross]
-    gaps = [sum(r["n"] for r in stats if not r["p"] >> i & 1) for i in range(size)]
-    usable = [i for i in range(size) if means[i] == means[i]]
+        groups[r["p"]] = [np.diag([1.0] + [float(mark) for mark in r["p"]]), cross]
+    gaps = [sum(r["n"] for r in stats if r["p"][i] == "0") for i in range(size)]
     order = sorted([i for i in usable if gaps[i]], key=lambda i: (gaps[i], i))
-    if len(usable) > 1:
-        for _ in range(rounds):
-            change = 0.0
-            for c in order:
-                others = [i for i in usable if i != c]
-                total = np.zeros((size + 1, size + 1))
-                for p, (m, s) in groups.items():
-                    if p >> c & 1:
-                        total += m @ s @ m.T
-                n = total[0, 0]
-                centre = total[0, 1:] / n
-                cov = total[1:, 1:] - n * np.outer(centre, centre)
-                coef = _bayesian_ridge(n, cov[np.ix_(others, others)], cov[others, c], cov[c, c])
-                step = np.zeros(size + 1)
-                step[0] = centre[c] - coef @ centre[others]
-                step[[i + 1 for i in others]] = coef
-                for p, (m, s) in groups.items():
-                    if not p >> c & 1:
-                        old, new = m[c + 1].copy(), step @ m
-                        diff = new - old
-                        change = max(change, float(diff @ s @ diff) / max(s[0, 0], 1.0))
-                        m[c + 1] = new
-            if change**0.5 < tol * largest:
-                break
-    maps = {}
-    for p, (m, _) in groups.items():
-        coef = m[1:, 1:].copy()
-        shift = np.where(means == means, means, 0.0)
-        base = m[1:, 0] + shift - coef @ shift
-        for i in range(size):
-            if i not in usable:
-                base[i] = np.nan
-        maps[p] = (base, coef)
-    return ChainModel(names, maps)
+    steps: list[tuple[int, float, list[float]]] = []
+    for _ in range(rounds):
+        change = 0.0
+        for c in order:
+            total = np.zeros((size + 1, size + 1))
+            for p, (m, s) in groups.items():
+                if p[c] == "1":
+                    total += m @ s @ m.T
+            step = _regression(total, c, usable)
+            steps.append((c, float(step[0]), [float(v) for v in step[1:]]))
+            for p, (m, s) in groups.items():
+                if p[c] == "0":
+                    old, new = m[c + 1].copy(), step @ m
+                    diff = new - old
+                    change = max(change, float(diff @ s @ diff) / max(s[0, 0], 1.0))
+                    m[c + 1] = new
+        if change**0.5 < tol * largest:
+            break
+    return ChainModel(names, shift, steps)
+
+
+def _regression(total: np.ndarray, c: int, usable: list[int]) -> np.ndarray:
+    """Intercept and coefficients of column ``c`` on the other usable ones, from sums and cross products of (1, x1, ..., xp)."""
+    others = [i for i in usable if i != c]
+    n = total[0, 0]
+    centre = total[0, 1:] / n
+    cov = total[1:, 1:] - n * np.outer(centre, centre)
+    coef = _bayesian_ridge(n, cov[np.ix_(others, others)], cov[others, c], cov[c, c])
+    step = np.zeros(len(total))
+    step[0] = centre[c] - coef @ centre[others]
+    step[[i + 1 for i in others]] = coef
+    return step
+
+
+def _fit_by_passes(
+    df: DataFrame, names: list[str], means: list[float], usable: list[int], largest: float, rounds: int, tol: float
+) -> ChainModel:
+    """The same regressions by passes over the table, whatever the number of combinations of missing columns.
+
+    Each regression aggregates the cross products of the rows that have its column; the filled table is written after each round.
+    """
+    size, model = len(names), ChainModel(names, [m if m == m else 0.0 for m in means], [])
+    rows = write_table(
+        df.select(_pattern(df, names).alias("p"), F.array(*[missing(df, c) for c in names]).alias("m"), model.deviations(df).alias("x")), "chain"
+    )
+    row = rows.agg(*[F.count_if(F.col("m")[i]).alias(f"g{i}") for i in range(size)]).first()
+    order = sorted([i for i in usable if row[f"g{i}"]], key=lambda i: (row[f"g{i}"], i))
+    upper = [(i, j) for i in range(size) for j in range(i, size)]
+    for _ in range(rounds):
+        change, made = 0.0, []
+        for c in order:
+            now = rows.withColumn("x", apply_steps(F.col("x"), F.col("m"), made))
+            sums = now.filter(~F.col("m")[c]).agg(
+                F.count("*").alias("n"),
+                *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(size)],
+                *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"c{i}_{j}") for i, j in upper],
+            ).first()
+            total = np.zeros((size + 1, size + 1))
+            total[0, 0] = sums["n"]
+            total[0, 1:] = total[1:, 0] = [sums[f"s{i}"] for i in range(size)]
+            for i, j in upper:
+                total[i + 1, j + 1] = total[j + 1, i + 1] = sums[f"c{i}_{j}"]
+            step = _regression(total, c, usable)
+            made.append((c, float(step[0]), [float(v) for v in step[1:]]))
+            after = now.filter(F.col("m")[c]).withColumn("y", apply_steps(F.col("x"), F.col("m"), made[-1:]))
+            moved = after.groupBy("p").agg(F.avg(F.pow(F.col("y")[c] - F.col("x")[c], 2)).alias("d")).agg(F.max("d")).first()[0]
+            change = max(change, moved or 0.0)
+        rows = write_table(rows.withColumn("x", apply_steps(F.col("x"), F.col("m"), made)), "chain")
+        model.steps += made
+        if change**0.5 < tol * largest:
+            break
+    return ChainModel(names, means, model.steps)
 
 
 def impute_iterative(df: DataFrame, columns: Sequence[str], rounds: int = ROUNDS) -> DataFrame:

@@ -16,7 +16,7 @@ from .ordering import sorted_counts
 METHODS = ["yeo-johnson", "box-cox", "quantile_normal", "quantile_uniform"]
 GRID = 11
 PASSES = 5
-LAMBDA_RANGE = (-5.0, 5.0)
+FIRST_RANGE = (-5.0, 5.0)  # where the search begins; it moves on while the best lambda is at an end
 QUANTILES = 1000
 CLIP = 1e-7
 
@@ -73,7 +73,8 @@ def fit_power(df: DataFrame, method: str = "yeo-johnson", columns: Sequence[str]
     """Lambda by maximum likelihood, then standardisation.
 
     Each pass evaluates a grid of lambdas for all columns in one aggregate and the next grid spans the
-    neighbours of the best one; a parabola through the last three points gives the final digits.
+    neighbours of the best one; a parabola through the last three points gives the final digits. While the
+    best one is an end of the grid, the next grid lies beyond it.
     """
     validate_choice("method", method, list(FORWARD))
     names = validate_columns(df, columns or numeric_columns(df))
@@ -94,14 +95,15 @@ def fit_power(df: DataFrame, method: str = "yeo-johnson", columns: Sequence[str]
     if wrong:
         raise ValueError(f"box-cox needs positive values; {wrong} have others")
     usable = [(i, c) for i, c in enumerate(names) if base[f"n{i}"] and base[f"lo{i}"] < base[f"hi{i}"]]
-    ranges = {c: LAMBDA_RANGE for _, c in usable}
+    ranges = {c: FIRST_RANGE for _, c in usable}
+    left = {c: PASSES for _, c in usable}
     best = {c: 1.0 for c in names}
-    for turn in range(PASSES if usable else 0):
-        grids = {c: np.linspace(*ranges[c], GRID) for _, c in usable}
+    while open_ := [(i, c) for i, c in usable if left[c]]:
+        grids = {c: np.linspace(*ranges[c], GRID) for _, c in open_}
         row = df.agg(
-            *[F.var_pop(FORWARD[method](values[c], float(lam))).alias(f"v{i}_{j}") for i, c in usable for j, lam in enumerate(grids[c])]
+            *[F.var_pop(FORWARD[method](values[c], float(lam))).alias(f"v{i}_{j}") for i, c in open_ for j, lam in enumerate(grids[c])]
         ).first()
-        for i, c in usable:
+        for i, c in open_:
             var = np.array([row[f"v{i}_{j}"] if row[f"v{i}_{j}"] else np.nan for j in range(GRID)], dtype=float)
             n = base[f"n{i}"]
             with np.errstate(all="ignore"):
@@ -109,9 +111,16 @@ def fit_power(df: DataFrame, method: str = "yeo-johnson", columns: Sequence[str]
             loglik = np.where(np.isfinite(loglik), loglik, -np.inf)
             j = int(np.argmax(loglik))
             low, high = max(0, j - 1), min(GRID - 1, j + 1)
-            ranges[c] = (grids[c][low], grids[c][high])
             best[c] = float(grids[c][j])
-            if turn == PASSES - 1 and low < j < high and np.all(np.isfinite(loglik[low : high + 1])):
+            inner = 1 if j == 0 else GRID - 2
+            if j in (0, GRID - 1) and loglik[j] > loglik[inner]:
+                # Far out the powers overflow and the likelihood is no number, so this ends.
+                away = 3 * (grids[c][j] - grids[c][inner]) * (GRID - 1)
+                ranges[c] = tuple(sorted((grids[c][inner], grids[c][j] + away)))
+                continue
+            ranges[c] = (grids[c][low], grids[c][high])
+            left[c] -= 1
+            if not left[c] and low < j < high and np.all(np.isfinite(loglik[low : high + 1])):
                 a, b, d = loglik[low : high + 1]
                 bend = a - 2 * b + d
                 if bend < 0:

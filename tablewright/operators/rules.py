@@ -17,7 +17,6 @@ from .joins import lookup_join
 DATE_CODES = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%p": "a", "%P": "a",
 }
-MAX_ROUNDS = 10
 
 
 @dataclass(frozen=True)
@@ -147,30 +146,42 @@ def track(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def clean_rules(df: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def clean_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Apply all rules in dependency order to a tracked table.
 
-    Rules that depend on each other in a circle run in rounds until none changes a cell; the table is
-    written to the checkpoint folder after each round, so a lost executor costs one round at most.
+    A dependency reads the table twice, so the table is written to the checkpoint folder after each. Rules that depend on
+    each other in a circle run in rounds until none changes a cell. Rounds that come back to an earlier state of the
+    table would go on for ever; they raise an error.
     """
     order, cyclic = ordered_rules(rules)
     out = track(df, order)
     if not cyclic:
         for rule in order:
-            out = _apply(out, rule)
+            out = cut_lineage(_apply(out, rule)) if rule.source else _apply(out, rule)
         return out
     touched = list(dict.fromkeys(r.attr for r in order))
-    for _ in range(max_rounds):
+    seen = {_state(out)}
+    while True:
         before = {c: f"_before_{c}" for c in touched}
         step = out.select("*", *[as_column(c).alias(b) for c, b in before.items()])
         for rule in order:
-            step = _apply(step, rule)
+            step = cut_lineage(_apply(step, rule)) if rule.source else _apply(step, rule)
         step = cut_lineage(step)
         changed = step.agg(F.count_if(F.greatest(*[~as_column(c).eqNullSafe(as_column(b)) for c, b in before.items()], F.lit(False))))
         out = step.drop(*before.values())
         if changed.first()[0] == 0:
-            break
-    return out
+            return out
+        state = _state(out)
+        if state in seen:
+            raise ValueError("the rules undo each other: no round leaves the table unchanged")
+        seen.add(state)
+
+
+def _state(df: DataFrame) -> tuple:
+    """Two sums over the rows that tell states of the table apart."""
+    plain = [c for c in df.columns if not c.startswith("_by_")]
+    rows = F.struct(*[as_column(c) for c in plain])
+    return tuple(df.agg(*[F.sum(F.xxhash64(rows, F.lit(k)).cast("decimal(20,0)")) for k in (1, 2)]).first())
 
 
 def repaired_table(cleaned: DataFrame) -> DataFrame:

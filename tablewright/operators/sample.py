@@ -7,6 +7,7 @@ one prefix that holds the cut is sorted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -24,12 +25,20 @@ def _hashed(df: DataFrame, key: Sequence[str], seed: int, digits: int = PREFIX_D
     return out.withColumn("_p", hex_number(F.col("_h"), 1, digits).cast("int"))
 
 
-def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = SEED, digits: int = 3) -> DataFrame:
+PREFIX_ROWS = 1 << 20  # rows that share a hash prefix, about
+
+
+def _digits(df: DataFrame) -> int:
+    """Hex digits that cut the table into prefixes of at most about PREFIX_ROWS rows."""
+    return max(3, math.ceil(math.log(max(1, df.count() / PREFIX_ROWS), 16)))
+
+
+def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = SEED, digits: int | None = None) -> DataFrame:
     """Add ``pos``, each row's place (from 0) in a seeded permutation; ``key`` must identify rows.
 
     Places are counted inside a hash prefix and shifted by the sizes of the prefixes before it.
     """
-    rows = _hashed(df, key, seed, digits)
+    rows = _hashed(df, key, seed, digits or _digits(df))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("_h", *key)) - 1
     return rows.withColumn("_i", inside).join(F.broadcast(_prefix_offsets(rows, [])), "_p").withColumn(
         "pos", F.col("_i") + F.col("_before")
@@ -92,7 +101,7 @@ def balance_oversample(df: DataFrame, label: str, key: Sequence[str], seed: int
     Adds ``draw``, the number of the draw within the class (NULL for the kept class). Draw ``j`` of a
     class with ``n`` rows takes the row at the hashed place ``hash(class, j) mod n``.
     """
-    rows = _hashed(df.filter(as_column(label).isNotNull()), key, seed, 3)
+    rows = _hashed(df.filter(as_column(label).isNotNull()), key, seed, _digits(df))
     sizes = rows.groupBy(label).agg(F.count("*").alias("_size"))
     largest = sizes.agg(F.max("_size")).first()[0]
     if largest is None:
@@ -100,8 +109,8 @@ def balance_oversample(df: DataFrame, label: str, key: Sequence[str], seed: int
     kept = lookup_join(rows, sizes.filter(F.col("_size") == largest), [label], "inner")
     kept = kept.select(*df.columns, F.lit(None).cast("bigint").alias("draw"))
     small = sizes.filter(F.col("_size") < largest)
-    # The draws are listed in blocks so that no single row expands into a whole class.
-    block = 10_000
+    # The draws are listed in blocks so that no single row expands into a whole class, nor lists very many blocks.
+    block = max(10_000, math.isqrt(largest))
     blocks = small.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((largest - 1) // block).cast("bigint"))))
     last = F.least((F.col("_b") + 1) * block, F.lit(largest)) - 1
     draws = blocks.repartition(label, "_b").select(label, "_size", F.explode(F.sequence(F.col("_b") * block, last)).alias("draw"))

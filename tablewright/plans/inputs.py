@@ -90,7 +90,7 @@ MESSY = """SELECT o_orderkey,
          WHEN 1 THEN CAST(year(o_orderdate) AS VARCHAR) || '/' || lpad(CAST((year(o_orderdate) + 1) % 100 AS VARCHAR), 2, '0')
          ELSE 'open' END AS span,
     CASE o_orderkey % 5 WHEN 0 THEN 'N/A' WHEN 1 THEN '-' WHEN 2 THEN NULL ELSE o_orderstatus END AS status,
-    'No&#46; ' || chr(42) || o_orderpriority || '&#40;x&#41;  #' || o_orderstatus AS note
+    'No&#46; ' || chr(42) || o_orderpriority || '&#40;x&#41;  #' || o_orderstatus || ' &#x2B;&eacute;&amp;#40;&#128512;' AS note
   FROM orders"""
 
 
@@ -113,7 +113,7 @@ def messy_orders(t: Tables) -> DataFrame:
         .when(key % 3 == 1, F.concat(text(year), F.lit("/"), F.lpad(text((year + 1) % 100), 2, "0")))
         .otherwise("open").alias("span"),
         F.when(key % 5 == 0, "N/A").when(key % 5 == 1, "-").when(key % 5 == 2, None).otherwise(F.col("o_orderstatus")).alias("status"),
-        F.concat(F.lit("No&#46; *"), "o_orderpriority", F.lit("&#40;x&#41;  #"), "o_orderstatus").alias("note"),
+        F.concat(F.lit("No&#46; *"), "o_orderpriority", F.lit("&#40;x&#41;  #"), "o_orderstatus", F.lit(" &#x2B;&eacute;&amp;#40;&#128512;")).alias("note"),
     )
 
 

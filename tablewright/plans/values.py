@@ -100,8 +100,14 @@ def split_range(t: Tables):
     return messy_orders(t).select("o_orderkey", start.alias("span_start"), end.alias("span_end")).na.fill(-1)
 
 
+# Numeric references in either base as their characters, then the named ones; the ampersand's own last.
+DECODED = (
+    "replace(replace(list_reduce(list_prepend(note, list_distinct(regexp_extract_all(note, '&#x?[0-9A-F]+;'))), "
+    "lambda t, r: replace(t, r, chr(CAST(CASE WHEN r LIKE '&#x%' THEN '0' || substr(r, 3, length(r) - 3) ELSE substr(r, 3, length(r) - 3) END AS INT)))), "
+    "'&eacute;', 'é'), '&amp;', '&')"
+)
 NOTE = (
-    "trim(regexp_replace(regexp_replace(replace(replace(note, '&#40;', '('), '&#41;', ')'), "
+    f"trim(regexp_replace(regexp_replace({DECODED}, "
     "'[^\\p{L}\\p{N}\\s.,:;%$€£¥/()''&+-]', '', 'g'), '\\s+', ' ', 'g'))"
 )
 

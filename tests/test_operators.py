@@ -304,3 +304,55 @@ def test_table_context_uses_other_columns(spark):
     got = {r["id"]: r for r in done.collect()}
     assert methods["y"] in ("knn", "iterative") and done.columns == df.columns
     assert all(abs(got[i]["y"] - (3.0 * (i % 40) + 1)) < 1.0 for i in range(0, 400, 7))
+
+
+def test_character_references(spark):
+    cases = {
+        "No&#46; 5&#176;C": "No. 5°C", "&#x41;&#X42;": "AB", "&amp;#40;": "&#40;", "&lt;&eacute;&bogus;": "<é&bogus;",
+        "&#99999999;&#0;&#xD800;": "&#99999999;&#0;&#xD800;", "&#128512;": "\U0001f600", "plain & simple": "plain & simple",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    got = {r.t: r.d for r in df.select("t", text.decode_references("t").alias("d")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_circular_rules_run_until_nothing_changes(spark):
+    # Each round repairs one more link of the chain k0 -> k1 -> k2 -> k3, whose rules stand in the worst order.
+    n = 4
+    rows = [(i, *["good"] * n) for i in range(2)] + [(9, "good", *["bad"] * (n - 1))]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"k{i} string" for i in range(n)))
+    order = [rules.Rule(f"r{i}", "AttrRelation", f"k{i + 1}", source=f"k{i}") for i in reversed(range(n - 1))]
+    order.append(rules.Rule("back", "AttrRelation", "k0", source=f"k{n - 1}"))
+    done = rules.clean_rules(df, order).collect()
+    assert all(r[f"k{i}"] == "good" for r in done for i in range(n))
+
+
+def test_power_lambda_is_not_bounded(spark):
+    u = np.random.default_rng(3).uniform(1, 2, 3000)
+    near = power.fit_power(spark.createDataFrame([(float(v),) for v in u], "x double"), "box-cox").params["x"][0]
+    far = power.fit_power(spark.createDataFrame([(float(v**0.05),) for v in u], "x double"), "box-cox").params["x"][0]
+    assert far > 5 and far == pytest.approx(near / 0.05, rel=0.02)
+
+
+def test_imputation_of_seventy_columns_with_holes(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 3))
+    full = base @ rng.normal(size=(3, 70)) + 0.01 * rng.normal(size=(60, 70))
+    holes = rng.random(full.shape) < 0.05
+    rows = [(i, *[None if h else float(v) for v, h in zip(x, m)]) for i, (x, m) in enumerate(zip(full, holes))]
+    names = [f"c{i}" for i in range(70)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in names))
+    done = np.array([list(r)[1:] for r in impute.impute_iterative(df, names, rounds=2).orderBy("id").collect()])
+    assert np.isfinite(done).all() and np.array_equal(done[~holes], full[~holes])
+    assert np.abs(done - full)[holes].mean() < 0.5 * np.abs(full - full.mean(0))[holes].mean()
+
+
+def test_chained_regressions_by_passes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    x[:, 2] += x[:, 0] - x[:, 1]
+    df = spark.createDataFrame([tuple(float(v) if rng.random() > 0.2 else None for v in r) for r in x], "a double, b double, c double")
+    few, many = (impute.fit_iterative(df, ["a", "b", "c"], max_patterns=m).steps for m in (1000, 1))
+    assert len(few) == len(many)
+    for p, q in zip(few, many):
+        assert p[0] == q[0] and p[1] == pytest.approx(q[1], abs=1e-9) and p[2] == pytest.approx(q[2], abs=1e-9)
