@@ -25,7 +25,7 @@ MIN_RUN = 14
 TRAIN_FINDINGS = 8000
 TREES, DEPTH = 30, 6
 COMMON = 3  # occurrences from which a run of letters counts as a word of the corpus
-BROADCAST_PARTS = 200_000
+LONGEST_WORD = 40  # letters; longer runs are no words of a dictionary
 MARK = "[SECRET]"
 _KEY = r"[A-Za-z0-9+/_=.@:~-]"
 _BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
@@ -100,10 +100,9 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
 def _with_coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
     """How much of a value are words that stand alone in the corpus, and the longest of them."""
     parts = found.select(F.explode(F.array_distinct("parts")).alias("word")).distinct()
-    if parts.count() <= BROADCAST_PARTS:
-        parts = F.broadcast(parts)
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
-    known = words.join(parts, "word", "left_semi").groupBy("word").count().where(F.col("count") >= COMMON).select("word")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
+    # Counted before the join, so that a word that is very frequent is one row of it.
+    known = words.groupBy("word").count().where(F.col("count") >= COMMON).join(parts, "word", "left_semi").select("word")
     each = found.select("doc_id", "text_key", "run", F.explode("parts").alias("word")).join(known, "word")
     covered = each.groupBy("doc_id", "text_key", "run").agg(F.sum(F.length("word")).alias("letters"), F.max(F.length("word")).alias("longest_word"))
     covered = covered.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("run").alias("r"), "letters", "longest_word")
