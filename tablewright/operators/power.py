@@ -44,6 +44,11 @@ def box_cox_inverse(y: Column, lam: float) -> Column:
 
 
 FORWARD: dict[str, Callable[[Column, float], Column]] = {"yeo-johnson": yeo_johnson, "box-cox": box_cox}
+#: For the variance: constants that do not change it would drown the powers of far lambdas.
+SPREAD: dict[str, Callable[[Column, float], Column]] = {
+    "yeo-johnson": yeo_johnson,
+    "box-cox": lambda x, lam: F.log(x) if abs(lam) < 1e-12 else F.pow(x, F.lit(lam)) / lam,
+}
 BACKWARD: dict[str, Callable[[Column, float], Column]] = {"yeo-johnson": yeo_johnson_inverse, "box-cox": box_cox_inverse}
 
 
@@ -101,7 +106,7 @@ def fit_power(df: DataFrame, method: str = "yeo-johnson", columns: Sequence[str]
     while open_ := [(i, c) for i, c in usable if left[c]]:
         grids = {c: np.linspace(*ranges[c], GRID) for _, c in open_}
         row = df.agg(
-            *[F.var_pop(FORWARD[method](values[c], float(lam))).alias(f"v{i}_{j}") for i, c in open_ for j, lam in enumerate(grids[c])]
+            *[F.var_pop(SPREAD[method](values[c], float(lam))).alias(f"v{i}_{j}") for i, c in open_ for j, lam in enumerate(grids[c])]
         ).first()
         for i, c in open_:
             var = np.array([row[f"v{i}_{j}"] if row[f"v{i}_{j}"] else np.nan for j in range(GRID)], dtype=float)

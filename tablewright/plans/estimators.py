@@ -103,17 +103,27 @@ _ranked = """SELECT p_partkey, round(avg(v), 6) AS v FROM (SELECT r.p_partkey, x
     FROM h r JOIN h x ON r.{t} IS NULL AND r.{o} IS NOT NULL AND x.{t} IS NOT NULL AND x.{o} IS NOT NULL) WHERE k <= 5 GROUP BY p_partkey"""
 
 
-@query(
+_KNN = (
     f"""{WITH_PARTS}, a AS ({_ranked.format(t='p_size', o='p_retailprice')}), b AS ({_ranked.format(t='p_retailprice', o='p_size')})
     SELECT h.p_partkey, round(coalesce(h.p_size, a.v, (SELECT avg(p_size) FROM h)), 6) AS p_size,
       round(coalesce(h.p_retailprice, b.v, (SELECT avg(p_retailprice) FROM h)), 6) AS p_retailprice
     FROM h LEFT JOIN a ON a.p_partkey = h.p_partkey LEFT JOIN b ON b.p_partkey = h.p_partkey"""
 )
+
+
+@query(_KNN)
 def impute_knn(t: Tables):
     done, _ = impute.impute(holed_parts(t), "knn", ["p_size", "p_retailprice"])
     return rounded(done.select("p_partkey", "p_size", "p_retailprice"))
 
 
+@query(_KNN)
+def impute_knn_scaled(t: Tables):
+    # One column decides on the other, so its unit does not matter.
+    done, _ = impute.impute(holed_parts(t), "knn", ["p_size", "p_retailprice"], scale="standard")
+    return rounded(done.select("p_partkey", "p_size", "p_retailprice"))
+
+
 @query()
 def impute_iterative(t: Tables):
     done, _ = impute.impute(holed_lines(t), "iterative", FILLED)
@@ -244,10 +254,40 @@ def transform_quantile_uniform(t: Tables):
     return rounded(model.transform(t.events).select("event_id", "value"))
 
 
-@query()
+@query(_cdf.format(probs="[" + ", ".join(f"{i}/999.0" for i in range(1000)) + "]"))
 def transform_quantile_normal(t: Tables):
     model = power.fit_quantile(t.events, "quantile_normal", ["value"])
-    return rounded(model.transform(t.events).select("event_id", "value"))
+    # The normal scores, mapped back through the normal distribution function, are the uniform ones.
+    back = power.QuantileModel("quantile_normal", {"value": [0.0, 1.0]})
+    return rounded(back.inverse(model.transform(t.events)).select("event_id", "value"))
+
+
+@query("SELECT p_partkey, round(p_retailprice, 4) AS p_retailprice FROM part")
+def inverse_transform_boxcox(t: Tables):
+    done, model = power.fit_transform(t.part, "box-cox", ["p_retailprice"])
+    return rounded(power.inverse_transform(done, model).select("p_partkey", "p_retailprice"), 4)
+
+
+# The likelihood on an even grid of lambdas and a parabola through its three best points.
+_likelihood = """SELECT '{name}' AS "column", l, -count(*) / 2 * ln(var_pop({value})) + (l - 1) * sum({term}) AS f
+    FROM {table}, (SELECT i / 50.0 AS l FROM range(-250, 251) AS r(i)) WHERE l <> 0 AND l <> 2 GROUP BY l"""
+_yeo = "CASE WHEN {c} >= 0 THEN (power({c} + 1, l) - 1) / l ELSE -(power(1 - {c}, 2 - l) - 1) / (2 - l) END"
+
+
+@query(
+    "WITH g AS ("
+    + _likelihood.format(name="c_acctbal", table="customer", value=_yeo.format(c="c_acctbal"), term="sign(c_acctbal) * ln(1 + abs(c_acctbal))")
+    + " UNION ALL "
+    + _likelihood.format(name="p_retailprice", table="part", value="power(p_retailprice, l) / l", term="ln(p_retailprice)")
+    + """), b AS (SELECT "column", arg_max(l, f) AS l FROM g GROUP BY 1),
+    p AS (SELECT b."column", b.l, max(f) FILTER (round((g.l - b.l) * 50) = -1) AS x, max(f) FILTER (round((g.l - b.l) * 50) = 0) AS y,
+      max(f) FILTER (round((g.l - b.l) * 50) = 1) AS z FROM b JOIN g ON g."column" = b."column" GROUP BY ALL)
+    SELECT "column", round(l + (x - z) / (2 * (x - 2 * y + z)) / 50, 2) AS lambda FROM p"""
+)
+def power_lambda(t: Tables):
+    models = {"c_acctbal": power.fit_power(t.customer, "yeo-johnson", ["c_acctbal"]), "p_retailprice": power.fit_power(t.part, "box-cox", ["p_retailprice"])}
+    rows = [(c, float(m.params[c][0])) for c, m in models.items()]
+    return rounded(t.spark.createDataFrame(rows, "`column` string, `lambda` double"), 2)
 
 
 @query("SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal, c_mktsegment FROM customer")
@@ -298,10 +338,20 @@ def sort_importance(t: Tables):
     return rounded(features.sort_importance(features.anova_f(t.lineitem, SCORED, "l_returnflag")), 5)
 
 
-@query()
+def _best(rank: int) -> str:
+    """The value of the feature with that rank of importance."""
+    return f"CASE (SELECT feature FROM r WHERE place = {rank}) " + " ".join(f"WHEN '{c}' THEN {c}" for c in SCORED) + " END"
+
+
+@query(
+    f"""WITH r AS (SELECT feature, row_number() OVER (ORDER BY importance DESC, feature) AS place FROM ({F_SCORES}))
+    SELECT least(a, b) AS smaller, greatest(a, b) AS larger FROM (SELECT {_best(1)} AS a, {_best(2)} AS b FROM lineitem)"""
+)
 def feature_transform(t: Tables):
     _, model = features.select_features(t.lineitem, "l_returnflag", SCORED, "kbest", 2)
-    return features.feature_transform(t.lineitem, model)
+    # The names of the chosen features depend on the table; their values are compared.
+    a, b = (F.col(c) for c in features.feature_transform(t.lineitem, model).columns)
+    return features.feature_transform(t.lineitem, model).select(F.least(a, b).alias("smaller"), F.greatest(a, b).alias("larger"))
 
 
 @query(F_SCORES)

@@ -28,6 +28,11 @@ def task_metrics(t: Tables):
     return rounded(metrics.task_metrics(answers(t), "said", "gold", "entity_matching"))
 
 
+@query(_task_sql("ends_with(string_split(s, chr(10) || chr(10))[-1], l)"))
+def task_metrics_suffix(t: Tables):
+    return rounded(metrics.task_metrics(answers(t), "said", "gold", "error_detection"))
+
+
 @query(_task_sql("starts_with(s, l)"))
 def task_metrics_prefix(t: Tables):
     return rounded(metrics.task_metrics(answers(t), "said", "gold", "schema_matching"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import distribution as dist, missing, profile
 from ..operators.impute import fit_simple
@@ -120,6 +122,20 @@ def numeric_profile(t: Tables):
     return rounded(profile.numeric_profile(number_texts(t), TEXTS))
 
 
+@query(
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value FROM ({NUMBER_TEXTS}) WHERE {c} IS NOT NULL
+          ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5)"""
+        for c in TEXTS
+    )
+)
+def sample_values(t: Tables):
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = number_texts(t).withColumn("key", key)
+    parts = [profile.sample_values(rows, c, "key") for c in TEXTS]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query(
     f"WITH s AS ({NUMBER_TEXTS}) "
     + union_sql(
