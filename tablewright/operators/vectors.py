@@ -95,7 +95,8 @@ def nearest_rows(
             for f in frames:
                 yield _nearest(f["q"].to_numpy(), _matrix(f["vec"]), item, dv, n, k, mode)
 
-        return queries.select("q", "vec").mapInPandas(local, out)
+        # Over all cores: the queries of a small table often stand in one partition.
+        return queries.select("q", "vec").repartition("q").mapInPandas(local, out)
     found = _by_cells(queries, donors, k, mode, out, cell_rows or CELL_ROWS)
     nearest = Window.partitionBy("q").orderBy("dist2", "item")
     before = F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
