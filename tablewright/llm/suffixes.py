@@ -3,7 +3,7 @@
 Sorting all suffixes would move a hundred times the corpus, so only those that can matter are sorted. Each string of LENGTH bytes has
 an anchor, its MARK-byte part of least hash; neighbouring strings with one anchor form a span. Equal strings have equal anchors, so:
 
-1. Spans are filed under the hash of their anchor. An anchor that occurs once has no repeated string. Of spans that are equal
+1. Spans are filed under the hash of their anchor, equal ones of one slice of the corpus once. An anchor that occurs once has no repeated string. Of spans that are equal
    byte for byte (by a second hash) all but the first are repeats as a whole.
 2. Where different spans share an anchor, one of each goes on: its suffix from the anchor on is sorted within the task that reads its document,
    front-coded (length shared with the suffix before, then the rest), and sent in runs by anchor.
@@ -25,11 +25,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import write_table
-from .textbytes import prefix_sums, segment_hash, signed, slices
+from .textbytes import mix, prefix_sums, segment_hash, signed, slices
 
 LENGTH = 100
 MARK = 24
@@ -67,24 +68,55 @@ def spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, first - starts[row], anchor - first, last + LENGTH - first, gram[anchor], segment_hash(sums, first, last + LENGTH)
 
 
+def _rows(key: np.ndarray, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Rows to be filed. Of equal spans in one slice only the first goes on; the stretches of bytes that the others cover are known to
+    be repeats, and are dealt out by where they stand, so a string that fills a part of the corpus is a few rows of its key."""
+    order = np.lexsort((place, doc))
+    key, content, doc, place = key[order], content[order], doc[order], place[order]
+    again = pd.Series(key ^ mix(content)).duplicated().to_numpy()
+    start, end = place[again] >> _BYTE, (place[again] >> _BYTE) + (place[again] & 0xFF)  # with the row of the id on top
+    new = np.flatnonzero((np.diff(doc[again]) != 0) | (start[1:] > end[:-1])) + 1
+    first, last = np.append(0, new)[: len(start)], np.append(new - 1, len(start) - 1)[: len(start)]
+    begin, length = start[first] << _BYTE, end[last] - start[first]
+    known = doc[again][first]
+    columns = [
+        np.concatenate([signed(key[~again]), signed(mix(known.view(np.uint64) ^ begin.view(np.uint64)))]),
+        np.concatenate([signed(content[~again]), np.zeros(len(first), np.int64)]),
+        np.concatenate([doc[~again], known]),
+        np.concatenate([place[~again], begin]),
+        np.concatenate([np.zeros((~again).sum(), np.int64), length]),
+    ]
+    return pa.record_batch([pa.array(c) for c in columns], names=["key", "content", "doc", "place", "stretch"])
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, starts in slices(batch):
             row, byte, anchor, size, key, content = spans(data, starts)
             doc, copy = rows.column("doc").to_numpy()[row], rows.column("copy").to_numpy()[row].astype(np.int64)
-            place = copy << _ROW | byte << _BYTE | anchor << _ANCHOR | size
-            yield pa.record_batch([pa.array(signed(key)), pa.array(signed(content)), pa.array(doc), pa.array(place)], names=["key", "content", "doc", "place"])
+            yield _rows(key, content, doc, copy << _ROW | byte << _BYTE | anchor << _ANCHOR | size)
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key, content, doc, place: repeats as a whole, and the first of each content where contents differ."""
-    names = ["key", "doc", "place", "repeat"]
+    """Over rows sorted by key, content, doc, place: repeats as a whole, and the first of each content where contents differ.
+    Stretches that are known to be repeats go through."""
+    names = ["key", "doc", "place", "repeat", "stretch"]
+
+    def rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, stretch: np.ndarray | None = None) -> pa.RecordBatch:
+        """With stretches: repeats."""
+        none = np.zeros(len(key), np.int64)
+        columns = [key, doc, place, np.full(len(key), stretch is not None), none if stretch is None else stretch]
+        return pa.record_batch([pa.array(c) for c in columns], names=names)
+
     last = (None, None)  # key and content before this batch
     waiting = None  # the first row of the open key, as long as it has no other content
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        stretch = batch.column("stretch").to_numpy()
         key, content, doc, place = (batch.column(i).to_numpy() for i in range(4))
+        yield rows(key[stretch > 0], doc[stretch > 0], place[stretch > 0], stretch[stretch > 0])
+        key, content, doc, place = (x[stretch == 0] for x in (key, content, doc, place))
+        if not len(key):
+            continue
         new_key = np.append(key[0] != last[0] if last[0] is not None else True, key[1:] != key[:-1])
         new = new_key | np.append(content[0] != last[1] if last[0] is not None else True, content[1:] != content[:-1])
         first = np.flatnonzero(new)
@@ -104,10 +136,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if contents[-1] == 1:
                 waiting = tuple(x[end : end + 1] for x in (key, doc, place))
         out.append((key[chosen], doc[chosen], place[chosen]))
-        rows = [np.concatenate(x) for x in zip(*out, strict=True)]
-        yield pa.record_batch([*map(pa.array, rows), pa.array(np.zeros(len(rows[0]), bool))], names=names)
-        again = ~new
-        yield pa.record_batch([pa.array(key[again]), pa.array(doc[again]), pa.array(place[again]), pa.array(np.ones(again.sum(), bool))], names=names)
+        yield rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        yield rows(key[~new], doc[~new], place[~new], place[~new] & 0xFF)
         last = key[-1], content[-1]
 
 
@@ -278,9 +308,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = np.arange(len(each)) - np.repeat(np.cumsum(strings) - strings, strings)
             byte = (flat[each] >> _BYTE & 0xFFFFFFFF) + step
             at, sums = starts[row[each]] + byte, prefix_sums(data)
-            keys = segment_hash(sums, at, at + LENGTH), segment_hash(sums, at, at + LENGTH // 2) + segment_hash(sums, at + LENGTH // 3, at + LENGTH)
-            place = flat[each] >> _ROW << _ROW | byte << _BYTE | LENGTH
-            yield pa.record_batch([pa.array(signed(keys[0])), pa.array(signed(keys[1])), rows.column("doc").take(pa.array(row[each])), pa.array(place)], names=["key", "content", "doc", "place"])
+            # Two hashes of the string: of the whole, and of two parts that cover it.
+            whole = segment_hash(sums, at, at + LENGTH)
+            parts = segment_hash(sums, at, at + LENGTH // 2) + segment_hash(sums, at + LENGTH // 3, at + LENGTH)
+            yield _rows(whole, parts, rows.column("doc").to_numpy()[row[each]], flat[each] >> _ROW << _ROW | byte << _BYTE | LENGTH)
 
 
 def _bits(place: Column, shift: int, bits: int) -> Column:
@@ -289,11 +320,11 @@ def _bits(place: Column, shift: int, bits: int) -> Column:
 
 def _whole(judged: DataFrame) -> DataFrame:
     start = _bits(F.col("place"), _BYTE, 32)
-    return judged.where("repeat").select("doc", _bits(F.col("place"), _ROW, 15).alias("copy"), start.alias("start"), (start + _bits(F.col("place"), 0, 8)).alias("end"))
+    return judged.where("repeat").select("doc", _bits(F.col("place"), _ROW, 15).alias("copy"), start.alias("start"), (start + F.col("stretch")).alias("end"))
 
 
-_FILED = "key long, content long, doc long, place long"
-_JUDGED = "key long, doc long, place long, repeat boolean"
+_FILED = "key long, content long, doc long, place long, stretch long"
+_JUDGED = "key long, doc long, place long, repeat boolean, stretch long"
 
 
 def _judged(filed: DataFrame) -> DataFrame:
