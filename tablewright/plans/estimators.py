@@ -254,6 +254,12 @@ def transform_quantile_uniform(t: Tables):
     return rounded(model.transform(t.events).select("event_id", "value"))
 
 
+@query(_cdf.format(probs="[" + ", ".join(f"{i}/999.0" for i in range(1000)) + "]"))
+def transform(t: Tables):
+    done, _ = power.fit_transform(t.events, "quantile_uniform", ["value"])
+    return rounded(done.select("event_id", "value"))
+
+
 @query(_cdf.format(probs="[" + ", ".join(f"{i}/999.0" for i in range(1000)) + "]"))
 def transform_quantile_normal(t: Tables):
     model = power.fit_quantile(t.events, "quantile_normal", ["value"])

@@ -188,6 +188,23 @@ def tfidf_match(t: Tables):
     return rounded(strings.tfidf_match(t.documents, "doc_id", "text", 0.8))
 
 
+@query(
+    """WITH a AS (SELECT p_partkey, p_name, p_type, concat_ws(' ', p_name, p_type) AS x, p_size <= 25 AS small FROM part),
+    e AS (SELECT DISTINCT x FROM a),
+    c AS (SELECT x, k, count(*) AS tf FROM (SELECT x, unnest(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+')) AS k FROM e) WHERE k <> '' GROUP BY ALL),
+    w AS (SELECT x, k, tf * (ln((1 + (SELECT count(*) FROM e)) / (1 + count(*) OVER (PARTITION BY k))) + 1) AS w FROM c),
+    u AS (SELECT x, k, w / sqrt(sum(w * w) OVER (PARTITION BY x)) AS w FROM w),
+    s AS (SELECT l.x AS x1, r.x AS x2, sum(l.w * r.w) AS s FROM u l JOIN u r USING (k)
+      WHERE l.x IN (SELECT x FROM a WHERE small) AND r.x IN (SELECT x FROM a WHERE NOT small) GROUP BY ALL HAVING s >= 0.85)
+    SELECT l.p_partkey AS p_partkey_1, l.p_name AS p_name_1, l.p_type AS p_type_1, r.p_partkey AS p_partkey_2, r.p_name AS p_name_2,
+      r.p_type AS p_type_2, round(s, 6) AS similarity FROM s JOIN a l ON l.x = x1 AND l.small JOIN a r ON r.x = x2 AND NOT r.small"""
+)
+def tfidf_match_tables(t: Tables):
+    parts = t.part.select("p_partkey", "p_name", "p_type", "p_size")
+    small, large = (parts.filter(c).drop("p_size") for c in ("p_size <= 25", "p_size > 25"))
+    return rounded(strings.tfidf_match_tables(small, large, ["p_name", "p_type"], 0.85))
+
+
 @query(
     """WITH l AS (SELECT o_custkey AS ltable_id, l_suppkey AS rtable_id, CASE WHEN c_nationkey = s_nationkey THEN 1 ELSE 0 END AS label, count(*) AS n
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import validate_choice
 from ..operators.impute import impute
-from ..operators.matching import exact_match
+from ..operators.matching import METHODS, exact_match
 from ..operators.missing import blanks_to_null, missing_stats
 from ..operators.power import fit_transform
 from ..operators.profile import numeric_profile
 from ..operators.scale import normalize
 from ..operators.smart import impute_smart
-from ..operators.strings import fuzzy_match
+from ..operators.strings import fuzzy_match, tfidf_match_tables
 from ..operators.structure import ValueRules, infer_types, normalize_table
 from ..session import write_table
 
@@ -74,9 +74,11 @@ def run_request(request: dict, df: DataFrame, other: DataFrame | None = None, **
     if operation == "imputer":
         return impute(df, method or "mean", columns)[0]
     if operation == "entity_matcher":
-        validate_choice("method", method or "exact", ["exact", "fuzzy"])
+        validate_choice("method", method or "exact", METHODS)
         right = df if other is None else other
         if method == "fuzzy":
             return fuzzy_match(df, right, columns, request.get("threshold", 0.8))
+        if method == "tfidf":
+            return tfidf_match_tables(df, right, columns, request.get("threshold", 0.8))
         return exact_match(df, right, columns)
     return prepare_table(df, **options).table
