@@ -41,7 +41,7 @@ def hard_pairs(df: DataFrame, key: str, vector: str, n: int, label: str, pred: s
 def distinct_members(pairs: DataFrame, df: DataFrame, key: str, n: int) -> DataFrame:
     """The rows of ``df`` that occur in the pairs, each once, the first ``n`` by key."""
     members = pairs.select(F.explode(F.array("i", "j")).alias(key)).distinct().orderBy(key).limit(n)
-    return df.join(F.broadcast(members), key, "left_semi")
+    return df.join(members, key, "left_semi")
 
 
 def balance_yes_no(samples: DataFrame, full: DataFrame, key: str, label: str = "label_str", seed: int = SEED) -> DataFrame:
@@ -56,8 +56,12 @@ def balance_yes_no(samples: DataFrame, full: DataFrame, key: str, label: str = "
     return kept.unionByName(pick.select(*samples.columns))
 
 
-def format_examples(examples: DataFrame, order_col: str, text: str = "text", label: str = "label_str") -> DataFrame:
-    """One row: ``text label`` per example in the given order, blank lines between, a newline at the end."""
+def format_examples(examples: DataFrame, order_col: str, n: int, text: str = "text", label: str = "label_str") -> DataFrame:
+    """One row: ``text label`` for the first ``n`` examples in the given order, blank lines between, a newline at the end.
+
+    A prompt is for a chosen few; :func:`example_text` gives the lines of a whole table.
+    """
+    examples = examples.orderBy(order_col).limit(n)
     line = F.concat(strip(text), F.lit(" "), strip(label))
     lines = F.sort_array(F.collect_list(F.struct(as_column(order_col).alias("o"), line.alias("t"))))
     joined = F.array_join(F.transform(lines, lambda r: r["t"]), "\n\n")
@@ -81,8 +85,8 @@ def generate_prompt(
     """Example text by ``random`` choice, or by ``validation`` errors among close pairs when vectors are given."""
     validate_choice("method", method, ["random", "validation"])
     if method == "random" or vector is None:
-        return format_examples(random_examples(df, key, n, seed), key)
+        return format_examples(random_examples(df, key, n, seed), key, n)
     chosen = hard_samples(df, key, vector, n)
     if task in ("entity_matching", "error_detection"):
         chosen = balance_yes_no(chosen, df, key, seed=seed)
-    return format_examples(chosen, key)
+    return format_examples(chosen, key, n)

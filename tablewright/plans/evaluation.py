@@ -181,7 +181,7 @@ PROMPT = """SELECT string_agg(trim(text) || ' ' || CASE WHEN label_str LIKE 'Y%'
 
 @query(PROMPT.format(rows=f"SELECT * FROM ({SHOWN}) ORDER BY {_hash('o_orderkey')} LIMIT 10"))
 def format_examples(t: Tables):
-    return examples.format_examples(examples.random_examples(shown(t), "o_orderkey", 10), "o_orderkey")
+    return examples.format_examples(examples.random_examples(shown(t), "o_orderkey", 10), "o_orderkey", 10)
 
 
 @query(PROMPT.format(rows=f"SELECT * FROM ({SHOWN}) ORDER BY {_hash('o_orderkey')} LIMIT 6"))

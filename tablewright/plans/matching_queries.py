@@ -288,6 +288,16 @@ def hard_samples(t: Tables):
     return examples.hard_samples(_guessed(t), "vec_id", "embedding", 10).drop("embedding")
 
 
+@query(
+    HARD
+    + """ SELECT string_agg('Vector ' || vec_id || '. ' || CAST(label AS VARCHAR), chr(10) || chr(10) ORDER BY vec_id) || chr(10) AS prompt
+    FROM u WHERE vec_id IN (SELECT vec_id FROM m)"""
+)
+def generate_prompt_validation(t: Tables):
+    rows = _guessed(t).withColumn("text", F.concat(F.lit("Vector "), "vec_id", F.lit(".")))
+    return examples.generate_prompt(rows, "vec_id", "validation", 10, "data_imputation", "embedding")
+
+
 @query(
     COSINES.format(on="a.vec_id < b.vec_id")
     + """, m AS (SELECT DISTINCT vec_id FROM (SELECT i AS vec_id FROM k WHERE r <= 3 AND s > 0.3 UNION ALL SELECT j FROM k WHERE r <= 3 AND s > 0.3)
