@@ -261,3 +261,39 @@ def test_empty_tables(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_of_each_group(empty).count() == 0
     assert suffixes.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2048, 3])
+def test_similar_links(spark, crowd):
+    """Texts are linked if one segment of a word fingerprint is at most two bits apart and the shingles are near."""
+    rng = random.Random(11)
+
+    def moved(x, most):
+        return x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
+
+    rows = []
+    for _ in range(30):
+        centre = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(rng.randint(1, 7)):
+            rows.append([moved(centre[0], 6), moved(centre[1], 6), moved(centre[2], 12), moved(centre[3], 12)])
+    rows += [[r[0], r[1], moved(r[2], 20), r[3]] for r in rows[:20]]  # the same words in another order
+
+    def bits(x):
+        return bin(x).count("1")
+
+    def linked(a, b):
+        parts = [(a[t] ^ b[t]) >> s & 0xFFFFFFFF for t in (0, 1) for s in (0, 32)]
+        return min(map(bits, parts)) <= 2 and bits(a[2] ^ b[2]) + bits(a[3] ^ b[3]) <= 24
+
+    root, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if root[i] != root[j] and linked(rows[i], rows[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    signed = [[x - (1 << 64) if x >> 63 else x for x in r] for r in rows]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "id long, words_a long, words_b long, shingles_a long, shingles_b long")
+    got = simhash.components(simhash.similar_links(table, 24, crowd)).collect()
+    assert {(r.node, r.root) for r in got} == {(i, r) for i, r in enumerate(root) if root.count(r) > 1}
