@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import write_table
+from . import minhash
 from .components import components
-from .textbytes import mix, slices
+from .textbytes import slices
 
 SEED = 42
 CROWD = 2048  # different fingerprints at one key up to which they are compared with each other
@@ -200,41 +201,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, segments
     )
 
 
-# Texts whose word shingles are similar, rather than fingerprints at a given distance. A text with a few words changed differs in
-# many shingles but in few words, so fingerprints of the set of words find the pairs, and fingerprints of the shingles judge them.
+# Links by given fingerprints of words and shingles; one_of_each_group searches and judges by the shingles themselves.
 
 SIMILAR = 0.8
 _SEARCH, _CHECK = ("words_a", "words_b"), ("shingles_a", "shingles_b")
 
 
-def text_marks(text: bytes, width: int) -> tuple[int, int, int, int]:
-    """Two fingerprints of the set of words, and two of the shingles."""
-    found = text.translate(_LOWER).split()
-    if not found:
-        return 0, 0, 0, 0
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    n = max(1, len(found) - width + 1)
-    spans = zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)
-    shingles = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n)
-    different = set(found)
-    single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in different), np.uint64, len(different))
-    return _ones(single), _ones(mix(single)), _ones(shingles), _ones(mix(shingles))
-
-
-def _marks(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, data, starts in slices(batch):
-                raw = data.tobytes()
-                marks = [text_marks(raw[a:b], width) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                columns = [pa.array([m[i] for m in marks], pa.int64()) for i in range(4)]
-                yield pa.record_batch([rows.column("doc_id"), rows.column("text_key"), *columns], names=["doc_id", "text_key", *_SEARCH, *_CHECK])
-
-    return run
-
-
 def _similar(distance: int):
     """Pairs of places that are similar, among rows of one run: fingerprints of the shingles differ in few enough bits."""
 
@@ -333,18 +305,13 @@ def similar_links(texts: DataFrame, distance: int, crowd: int = CROWD) -> DataFr
 def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
     """The documents with the smallest id of each group of similar texts, with all their columns.
 
-    Similarity is the share of equal bits that texts with this Jaccard similarity of their shingles have on average. Documents are told apart
+    Similarity is the Jaccard similarity of the different shingles, verified for every link (:mod:`.minhash`). Documents are told apart
     by id and text; of repeated rows one stays.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    kinds = ", ".join(f"{c} long" for c in ("doc_id", "text_key", *_SEARCH, *_CHECK))
-    marks = write_table(slim.mapInArrow(_marks(width), kinds), "text_marks")
-    identity = F.xxhash64(*_SEARCH, *_CHECK).alias("id")
-    texts = write_table(marks.select(identity, *_SEARCH, *_CHECK).distinct(), "different_texts")
-    # Sets that share a part j of their union have an angle of arccos(2j / (1 + j)) on average.
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    groups = components(similar_links(texts, round(128 * angle + 5), crowd))
-    named = marks.select("doc_id", "text_key", identity).join(groups, F.col("id") == F.col("node"), "left")
+    marks = write_table(minhash.marked(slim, width), "text_marks")
+    groups = minhash.similar_groups(slim, marks, width, similarity, crowd)
+    named = marks.select("doc_id", "text_key", "id").join(groups, F.col("id") == F.col("node"), "left")
     kept = named.groupBy(F.coalesce("root", "id").alias("of")).agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
     kept = write_table(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key")), "kept")
     whole = docs.select(F.struct("*").alias("d"))  # so that no column of the documents meets one of the groups

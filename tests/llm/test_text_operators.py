@@ -297,3 +297,44 @@ def test_similar_links(spark, crowd):
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "id long, words_a long, words_b long, shingles_a long, shingles_b long")
     got = simhash.components(simhash.similar_links(table, 24, crowd)).collect()
     assert {(r.node, r.root) for r in got} == {(i, r) for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def brute_similar(texts, similarity=0.8):
+    """For each text the least place that it reaches by steps of that Jaccard similarity of five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def copies(rng, kinds, low, high, n):
+    """Pairs of a text and its copy, their similarity between low and high on average."""
+    out = []
+    for i in range(n):
+        size = rng.randint(100, 600)
+        words = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        j, kind = rng.uniform(low, high), kinds[i % len(kinds)]
+        copy = list(words)
+        if kind == "appended":
+            copy += [f"w{rng.randrange(3000)}" for _ in range(round(size * (1 / j - 1)))]
+        elif kind == "truncated":
+            copy = copy[: round(size * j)]
+        else:
+            for at in rng.sample(range(size), max(1, round(size * (1 - j) / (1 + j) / 5))):
+                copy[at] = "changed"
+        out += [" ".join(words), " ".join(copy)]
+    return out
+
+
+def test_copies_with_more_or_fewer_words_are_found(spark):
+    texts = copies(random.Random(21), ["appended", "truncated", "edited"], 0.8, 0.9, 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, r in enumerate(brute_similar(texts)) if r == i}
+    got = {r.doc_id for r in simhash.one_of_each_group(docs).collect()}
+    assert want <= got
+    linked = len(texts) - len(want)
+    assert linked > 100 and len(texts) - len(got) >= 0.99 * linked
