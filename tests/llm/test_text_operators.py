@@ -338,3 +338,20 @@ def test_copies_with_more_or_fewer_words_are_found(spark):
     assert want <= got
     linked = len(texts) - len(want)
     assert linked > 100 and len(texts) - len(got) >= 0.99 * linked
+
+
+@pytest.mark.parametrize("crowd", [2048, 5])
+def test_texts_below_the_limit_stay(spark, crowd):
+    """Edits just below the limit, texts of one repeated line with different rests, and a family whose members are linked over others."""
+    rng = random.Random(22)
+    texts = copies(rng, ["edited"], 0.55, 0.72, 60)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts += [" ".join([line] * 30 + [f"r{rng.randrange(9999)}" for _ in range(40)]) for _ in range(10)]
+    words = [f"f{i}" for i in range(300)]
+    for _ in range(40):
+        words = list(words)
+        words[rng.randrange(300)] = f"g{rng.randrange(9999)}"
+        texts += [" ".join(words)] * rng.randint(1, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each_group(docs, crowd=crowd).collect()}
+    assert got == {i for i, r in enumerate(brute_similar(texts)) if r == i}
