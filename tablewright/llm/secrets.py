@@ -24,11 +24,14 @@ from ..session import write_table
 MIN_RUN = 14
 TRAIN_FINDINGS = 8000
 TREES, DEPTH = 30, 6
-COMMON = 3  # occurrences from which a run of letters counts as a word of the corpus
+COMMON, COMMON_SHARE = 3, 1e-5  # different texts, and share of them, from which a word counts as one of the corpus
 LONGEST_WORD = 40  # letters; longer runs are no words of a dictionary
 MARK = "[SECRET]"
 _KEY = r"[A-Za-z0-9+/_=.@:~-]"
 _BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+# Letters in lower case or capitalised with white space or punctuation on both sides; what touches a digit or key character is no word.
+_TOUCH = r"[\p{L}\p{N}+/_=@~:.-]"
+WORD = rf"(?<!{_TOUCH})[A-Za-z][a-z]{{2,{LONGEST_WORD - 1}}}(?=[.:]*+(?!{_TOUCH}))"
 CANDIDATE = rf"{_BLOCK}|(?<!{_KEY}){_KEY}{{{MIN_RUN},}}+"
 SECRET_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?key)"
 #: Formats that issuers publish.
@@ -100,9 +103,13 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
 def _with_coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
     """How much of a value are words that stand alone in the corpus, and the longest of them."""
     parts = found.select(F.explode(F.array_distinct("parts")).alias("word")).distinct()
-    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(3, LONGEST_WORD))
+    # Copies of a text count once.
+    each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_key"), each.alias("words")).dropDuplicates(["text_key"])
+    enough = max(COMMON, COMMON_SHARE * docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0])
     # Counted before the join, so that a word that is very frequent is one row of it.
-    known = words.groupBy("word").count().where(F.col("count") >= COMMON).join(parts, "word", "left_semi").select("word")
+    words = texts.select(F.explode("words").alias("word")).groupBy("word").count()
+    known = words.where(F.col("count") >= enough).join(parts, "word", "left_semi").select("word")
     each = found.select("doc_id", "text_key", "run", F.explode("parts").alias("word")).join(known, "word")
     covered = each.groupBy("doc_id", "text_key", "run").agg(F.sum(F.length("word")).alias("letters"), F.max(F.length("word")).alias("longest_word"))
     covered = covered.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("run").alias("r"), "letters", "longest_word")

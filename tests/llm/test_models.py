@@ -170,6 +170,15 @@ def test_secrets_of_odd_and_empty_tables(odd, empty):
     assert sorted(map(tuple, kept.collect()), key=key) == sorted(map(tuple, odd.collect()), key=key)
 
 
+def test_fragments_of_copied_secrets_are_no_words(spark):
+    rows = [f'{word} {word}. ({word}): token = "aB3xYzQwErTy7LmNoPqRs" or Abcdefgh9Ijklmnop {i}' for i in range(9) for word in ["plain"]]
+    rows += ["plain", "same text twelve times"] + ["copied once1234567890 once"] * 12
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = secrets.described(secrets.candidates(docs), docs).withColumn("label", secrets.sure_label())
+    got = {(r.value, r.coverage, r.label) for r in found.collect()}
+    assert got == {("aB3xYzQwErTy7LmNoPqRs", 0, None), ("Abcdefgh9Ijklmnop", 0, 0), ("once1234567890", 0, None)}
+
+
 def brute_vectors(rows, threshold):
     n, links = len(rows), {i: set() for i in range(len(rows))}
     for i in range(n):
