@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest. DataFrame functions and Spark's own trees only.
 
-A candidate is a long run of key characters with a digit or an assignment in it or all of capitals, or a private key block. The forest sees its length,
+A candidate is a long run of key characters with a digit, an assignment or mixed case in it or all of capitals, what is assigned to a
+secret's name from 8 characters on, whatever they are, or a private key block; a published key inside a run is a value of its own. The forest sees its length,
 the transitions between character classes, how much of its letters are words of the corpus, whether it belongs to a path, address or
 link, and the words before it. It is trained on labelled findings; without given ones, those that a strict rule is sure
 of (:func:`sure_label`): known key formats and assignments to a secret's name, against addresses, links, paths and plain words.
@@ -34,11 +35,21 @@ _TOUCH = r"[\p{L}\p{N}+/_=@~:.-]"
 WORD = rf"(?<!{_TOUCH})[A-Za-z][a-z]{{2,{LONGEST_WORD - 1}}}(?=[.:]*+(?!{_TOUCH}))"
 CANDIDATE = rf"{_BLOCK}|(?<!{_KEY}){_KEY}{{{MIN_RUN},}}+"
 SECRET_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?key)"
+_NAME = r"^(?:[A-Za-z_.-]{2,40}[=:]+|[A-Za-z_][A-Za-z0-9_.-]{1,39}=+)"
+#: A secret's name, an assignment, and a value of MIN_NAMED characters, in quotes (group 2) or not (group 3).
+MIN_NAMED = 8
+_SIMPLE = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?key)"
+NAMED = rf"(?i){_SIMPLE}[\w-]{{0,16}}[\"']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}(?:([\"'])([^\"'\s]{{{MIN_NAMED},}}+)\1|((?:{_KEY}|[!#$%^&*]){{{MIN_NAMED},}}+))"
 #: Formats that issuers publish.
 KNOWN_FORMATS = (
     r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}|^github_pat_|^xox[abprs]-|^sk_live_|^sk-[0-9A-Za-z]{20}"
     r"|^AIza[0-9A-Za-z_-]{35}|^eyJ[0-9A-Za-z_-]+\.eyJ|^glpat-|^-----BEGIN"
 )
+#: The same inside a run, each as far as it goes.
+KNOWN_INSIDE = (
+    r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_\w+|xox[abprs]-[0-9A-Za-z-]+|sk_live_\w+"
+    r"|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_.-]+|glpat-[0-9A-Za-z_-]+)"
+)
 ADDRESS = r"@|://|^www\.|\.[a-z]{2,4}$|^(\.{0,2}/)?[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+$"
 FEATURES = [
     "length", "digits", "uppers", "marks", "transitions", "variety", "hex", "coverage", "longest_word",
@@ -50,23 +61,38 @@ def _share(value: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(value, f"[^{keep}]+", "")) / F.greatest(F.length(value), F.lit(1))
 
 
+def _plain(run: Column) -> Column:
+    """A run without what does not belong to its value: a name in front (password=...) and closing marks."""
+    plain = F.regexp_replace(F.regexp_replace(run, _NAME, ""), r"[.:@]+$", "")
+    return F.when(run.rlike("^-----BEGIN") | (F.length(plain) == 0), run).otherwise(plain)
+
+
+def _found(run: Column) -> Column:
+    """The run with the values in it: each published key where the whole is none, else what is left of the run."""
+    keys = F.array_distinct(F.regexp_extract_all(run, F.lit(KNOWN_INSIDE), F.lit(0)))
+    values = F.when(~_plain(run).rlike(KNOWN_FORMATS) & (F.size(keys) > 0), keys).otherwise(F.array(_plain(run)))
+    return F.transform(values, lambda value: F.struct(run.alias("run"), value.alias("value")))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """One row a document and different candidate, with the value inside it, its place and the text around its first place."""
-    found = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike("[0-9=]|^[A-Z]{16,}[.:]*$")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    runs = rows.select("doc_id", "text_key", "text", F.explode(found).alias("run"))
-    placed = runs.withColumn("at", F.expr("locate(run, text)"))
-    # A name in front (password=...) and closing marks do not belong to the value.
-    plain = F.regexp_replace(F.regexp_replace("run", r"^[A-Za-z_.-]{2,40}[=:]+", ""), r"[.:@]+$", "")
-    value = F.when(F.col("run").rlike("^-----BEGIN") | (F.length(plain) == 0), F.col("run")).otherwise(plain)
+    shape = "[0-9=]|^[A-Z]{16,}[.:]*$|[a-z][A-Z]|[A-Z]{2}[a-z]"
+    long_runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike(shape) | x.rlike(KNOWN_INSIDE)))
+    behind = F.array_union(*(F.regexp_extract_all("text", F.lit(NAMED), F.lit(i)) for i in (2, 3)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), long_runs.alias("long_runs"), behind.alias("behind"))
+    first = rows.withColumn("found", F.flatten(F.transform("long_runs", _found)))
+    # What is a candidate by its shape is one already.
+    more = F.filter(F.flatten(F.transform(F.filter("behind", lambda x: x != ""), _found)), lambda x: ~F.exists("found", lambda y: y.value == x.value))
+    runs = first.select("doc_id", "text_key", "text", F.explode(F.array_distinct(F.concat("found", more))).alias("each"))
+    placed = runs.select("doc_id", "text_key", "text", "each.*").withColumn("at", F.expr("locate(run, text)"))
     return placed.select(
         "doc_id",
         "text_key",
         "run",
-        value.alias("value"),
+        "value",
         F.col("at").cast("long").alias("position"),
         F.expr("substring(text, greatest(1, at - 48), least(48, at - 1))").alias("left_text"),
-    ).where(F.length("value") >= 8)
+    ).where(F.length("value") >= MIN_NAMED)
 
 
 def described(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -75,7 +101,7 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
     kinds = value
     for pattern, mark in (("[0-9]+", "9"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("[^0-9a-zA-Z]+", "-")):
         kinds = F.regexp_replace(kinds, pattern, mark)
-    name = F.regexp_extract("run", r"^([A-Za-z_.-]{2,40})[=:]+", 1)
+    name = F.regexp_extract("run", _NAME, 0)
     before = F.regexp_extract("left_text", r"(\S+)(?:\s+\S{1,3})?\s*$", 1)
     near = F.concat_ws(" ", F.regexp_extract("left_text", r"((?:\S+\s+){0,3}\S*)$", 1), name)
     found = found.withColumns(
@@ -89,7 +115,7 @@ def described(found: DataFrame, docs: DataFrame) -> DataFrame:
             "hex": value.rlike("^[0-9a-fA-F]+$").cast("int"),
             "path": run.rlike(ADDRESS).cast("int"),
             "named": near.rlike(SECRET_NAME).cast("int"),
-            "assigned": (run.rlike("^[A-Za-z_.-]{2,40}[=:]") | F.col("left_text").rlike("[=:]\\s*[\"']?$")).cast("int"),
+            "assigned": (run.rlike(_NAME) | F.col("left_text").rlike("[=:]\\s*[\"']?$")).cast("int"),
             "quoted": F.col("left_text").rlike("[\"']$").cast("int"),
             "neighbour_length": F.length(before),
             "neighbour_capital": before.rlike("^[A-Z]").cast("int"),
@@ -110,23 +136,27 @@ def _with_coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
     # Counted before the join, so that a word that is very frequent is one row of it.
     words = texts.select(F.explode("words").alias("word")).groupBy("word").count()
     known = words.where(F.col("count") >= enough).join(parts, "word", "left_semi").select("word")
-    each = found.select("doc_id", "text_key", "run", F.explode("parts").alias("word")).join(known, "word")
-    covered = each.groupBy("doc_id", "text_key", "run").agg(F.sum(F.length("word")).alias("letters"), F.max(F.length("word")).alias("longest_word"))
-    covered = covered.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("run").alias("r"), "letters", "longest_word")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("run") == F.col("r"))
+    each = found.select("doc_id", "text_key", "run", "value", F.explode("parts").alias("word")).join(known, "word")
+    covered = each.groupBy("doc_id", "text_key", "run", "value").agg(F.sum(F.length("word")).alias("letters"), F.max(F.length("word")).alias("longest_word"))
+    covered = covered.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("run").alias("r"), F.col("value").alias("v"), "letters", "longest_word")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("run") == F.col("r")) & (F.col("value") == F.col("v"))
     coverage = F.coalesce(F.col("letters"), F.lit(0)) / F.length("value")
     return (
         found.join(covered, same, "left")
         .withColumns({"coverage": coverage, "longest_word": F.coalesce("longest_word", F.lit(0))})
-        .drop("d", "k", "r", "letters", "parts")
+        .drop("d", "k", "r", "v", "letters", "parts")
     )
 
 
 def sure_label() -> Column:
     """1 or 0 where a strict rule is sure of a finding, else null."""
     random_like = (F.length("value") >= 16) & (F.col("digits") >= 0.15) & (F.col("marks") <= 0.1) & (F.col("path") == 0)
-    secret = F.col("value").rlike(KNOWN_FORMATS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & random_like)
+    given = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("path") == 0) & (F.col("digits") < 1)
+    # Behind a name, letters that are no words, of either case or with digits among them, are enough; words alone are not.
+    mixed = F.col("value").rlike("[0-9]|[a-z][A-Z]") & F.col("value").rlike("[A-Za-z]") & (F.col("coverage") < 0.5)
+    secret = F.col("value").rlike(KNOWN_FORMATS) | (given & (random_like | mixed))
     other = (F.col("path") == 1) | (F.col("digits") == 1) | ((F.col("named") == 0) & (F.col("coverage") >= 0.5)) | ((F.col("named") == 0) & (F.col("digits") <= 0.1))
+    other |= (F.col("digits") == 0) & (F.col("coverage") >= 0.9)
     return F.when(secret, 1).when(other, 0)
 
 

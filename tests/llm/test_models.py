@@ -162,6 +162,33 @@ def test_secrets(spark):
         assert clean[i].n_chars == len(clean[i].text)
 
 
+def test_short_and_letters_only_secrets_behind_names_and_keys_inside_runs(spark):
+    rng = random.Random(8)
+    both = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows, planted = [], {}
+    for i in range(400):
+        words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(30))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        short = "".join(rng.choice(both[:26]) for _ in range(6)) + f"{rng.randrange(10, 100)}x"
+        letters = "kJ" + "".join(rng.choice(both) for _ in range(14))
+        text, secret = [
+            (f'password: "{short}"', short),
+            (f'secret = "{letters}"', letters),
+            (f"key2={key}", key),
+            (f"x/{key}", key),
+            (f"the getAlphaBetaGamma{'Delta' * (i % 2)} and mail alpha.{i:02d}@mail.example.com", None),
+            ("the token: everything, or password = alphabetagamma", None),
+            (f"https://example.com/alpha/{i}/index.html", None),
+            (f'{{"api_key": "{short}"}}', short),
+        ][i % 8]
+        rows.append((i, f"{words} {text} {words} everything"))
+        if secret:
+            planted[i] = secret
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = secrets.find_secrets(docs).where("is_secret").collect()
+    assert {(r.doc_id, r.value) for r in found} == set(planted.items())
+
+
 def test_secrets_of_odd_and_empty_tables(odd, empty):
     assert secrets.find_secrets(empty).count() == 0
     kept = secrets.without_secrets(odd)
@@ -176,7 +203,7 @@ def test_fragments_of_copied_secrets_are_no_words(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
     found = secrets.described(secrets.candidates(docs), docs).withColumn("label", secrets.sure_label())
     got = {(r.value, r.coverage, r.label) for r in found.collect()}
-    assert got == {("aB3xYzQwErTy7LmNoPqRs", 0, None), ("Abcdefgh9Ijklmnop", 0, 0), ("once1234567890", 0, None)}
+    assert got == {("aB3xYzQwErTy7LmNoPqRs", 0, 1), ("Abcdefgh9Ijklmnop", 0, 0), ("once1234567890", 0, None)}
 
 
 def brute_vectors(rows, threshold):
