@@ -13,8 +13,8 @@ an anchor, its MARK-byte part of least hash; neighbouring strings with one ancho
 Anchors with more than ``CROWD`` different spans are not held together in one task: their strings are exchanged one by one under their own
 hashes, which spreads them however many there are.
 
-Order is that of ids (null first), then of text for rows that share an id; such rows count as documents of their own, and an id may have
-``1 << 15`` rows. Null texts are empty; texts shorter than LENGTH are kept whole; an empty table gives no rows.
+Order is that of ids (null first), then of text for rows that share an id; such rows count as documents of their own, and an
+id may have any number of rows. Null texts are empty; texts shorter than LENGTH are kept whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import write_table
 from .textbytes import mix, prefix_sums, segment_hash, signed, slices
@@ -332,11 +332,20 @@ def _judged(filed: DataFrame) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc, copy, text): the id, and the number of the row among those of its id."""
+    """(doc, copy, text, of): the id and 0; where ids repeat, the number of the row in the order of ids and texts instead. ``of`` is the id."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return rows.select("doc", F.lit(0).alias("copy"), "text")
-    return rows.select("doc", (F.row_number().over(W.partitionBy("doc").orderBy("text")) - 1).alias("copy"), "text")
+        return rows.select("doc", F.lit(0).alias("copy"), "text", F.col("doc").alias("of"))
+    # Ranges of ids and first letters, so that the rows of one id are sorted by many tasks; the sizes of the ranges are one row a task.
+    dealt = rows.repartitionByRange("doc", F.substring("text", 1, 256)).sortWithinPartitions("doc", "text")
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = write_table(dealt.select(F.col("doc").alias("of"), "text", F.spark_partition_id().alias("part"), at.alias("at")), "numbered")
+    before, total = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):
+        before.append((r.part, total))
+        total += r["count"]
+    starts = F.broadcast(docs.sparkSession.createDataFrame(before, "part int, before long"))
+    return placed.join(starts, "part").select((F.col("before") + F.col("at")).alias("doc"), F.lit(0).alias("copy"), "text", "of")
 
 
 def repeated_bytes(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -383,8 +392,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay)."""
     rows = numbered(docs)
-    found = repeated_bytes(rows, crowd).groupBy("doc", F.col("copy").cast("int").alias("copy"))
+    found = repeated_bytes(rows.drop("of"), crowd).groupBy("doc", F.col("copy").cast("int").alias("copy"))
     cuts = found.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = rows.join(cuts, ["doc", "copy"], "left").select("doc", "text", "cuts")
+    joined = rows.join(cuts, ["doc", "copy"], "left").select(F.col("of").alias("doc"), "text", "cuts")
     out = joined.mapInArrow(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.nullif("doc", F.lit(_NULL)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -355,3 +355,14 @@ def test_texts_below_the_limit_stay(spark, crowd):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in simhash.one_of_each_group(docs, crowd=crowd).collect()}
     assert got == {i for i, r in enumerate(brute_similar(texts)) if r == i}
+
+
+def test_repeats_of_an_id_with_very_many_rows(spark):
+    rng = random.Random(23)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(30)]
+    rows = [(None, f"row {i:05d}" + (lines[i % 30] if i < 40 or i >= 32_768 else "")) for i in range(32_900)]
+    rows += [(5, lines[0]), (5, lines[1] + " other"), (4, "x" + lines[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r[0] or 0, *r[1:]) for r in suffixes.remove_repeats(docs).select(*COLUMNS).collect())
+    want = brute_cut(sorted(((i or 0, t) for i, t in rows)))
+    assert got == sorted(want)
