@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_column
 
 BROADCAST_ROWS = 50_000
 HOT_SHARE = 1000
+CELL_PAIRS = 1_000_000
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -50,3 +52,53 @@ def lookup_join(
         unmatched = left.filter(is_null)
         parts = parts.unionByName(unmatched, allowMissingColumns=True)
     return parts
+
+
+def dealt_join(left: DataFrame, right: DataFrame, on: dict[str, str], pairs: int | None = None, null_equal: bool = False) -> DataFrame:
+    """Inner join on ``on`` (left column: right column, all columns differently named) that splits keys with many rows on both sides.
+
+    The rows of each key are counted on both sides. Where a key gives more than ``pairs`` pairs (``CELL_PAIRS``), each side of it is dealt
+    into blocks by a hash of the whole row, the other side is copied to every block, and each pair of blocks is joined on its own. The grid
+    is that with the fewest copies: nearly square blocks, or one side whole where it is small. All other keys are joined once, as they are.
+    With ``null_equal`` missing keys are a value like any other.
+    """
+    limit = pairs or CELL_PAIRS
+    keys = list(on.items())
+
+    def usable(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df if null_equal else df.na.drop(subset=columns)
+
+    def counted(df: DataFrame, columns: list[str], n: str, names: list[str]) -> DataFrame:
+        return usable(df, columns).groupBy(*[as_column(c).alias(k) for c, k in zip(columns, names)]).agg(F.count("*").alias(n))
+
+    def same(a: list[str], b: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [as_column(p).eqNullSafe(as_column(q)) if null_equal else as_column(p) == as_column(q) for p, q in zip(a, b)])
+
+    ours, theirs = [a for a, _ in keys], [b for _, b in keys]
+    kl, kr = [f"_l{i}" for i in range(len(keys))], [f"_r{i}" for i in range(len(keys))]
+    both = counted(left, ours, "_nl", kl).join(counted(right, theirs, "_nr", kr), same(kl, kr))
+    side = math.sqrt(limit)
+    product = F.col("_nl").cast("double") * F.col("_nr")
+    hot = both.filter(product > limit).select(
+        *kl,
+        F.ceil(F.when(F.col("_nr") < side, product / limit).otherwise(F.greatest(F.lit(1.0), F.col("_nl") / side))).cast("int").alias("_rows"),
+        F.ceil(F.when(F.col("_nl") < side, product / limit).otherwise(F.greatest(F.lit(1.0), F.col("_nr") / side))).cast("int").alias("_cols"),
+    )
+    small = bounded(hot)
+    if small is None:
+        small = hot
+    elif small.isEmpty():
+        return left.join(right, same(ours, theirs))
+    none = F.lit(0)
+
+    def dealt(df: DataFrame, columns: list[str], own: str, other: str, mine: str, copied: str) -> DataFrame:
+        grid = small.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(kl)], F.col("_rows"), F.col("_cols"))
+        sized = usable(df, columns).join(grid, same(columns, [f"_g{i}" for i in range(len(keys))]), "left")
+        block = F.pmod(F.xxhash64(*[as_column(c) for c in df.columns]), F.coalesce(own, F.lit(1))).cast("int")
+        every = F.sequence(none, F.coalesce(other, F.lit(1)) - 1)
+        return sized.withColumn(mine, block).withColumn(copied, F.explode(every)).select(*[as_column(c) for c in df.columns], mine, copied)
+
+    a = dealt(left, ours, "_rows", "_cols", "_i1", "_j1")
+    b = dealt(right, theirs, "_cols", "_rows", "_j2", "_i2")
+    cells = (F.col("_i1") == F.col("_i2")) & (F.col("_j1") == F.col("_j2"))
+    return a.join(b, same(ours, theirs) & cells).drop("_i1", "_j1", "_i2", "_j2")

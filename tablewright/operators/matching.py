@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_column, common_columns, drop_rename, long_rows, validate_columns
 from ..functions.text import label_to_text, serialize_pair, serialize_row
-from .joins import lookup_join
+from .joins import dealt_join, lookup_join
 from .strings import fuzzy_match, ratio
 
 METHODS = ["exact", "fuzzy", "tfidf"]
@@ -17,15 +17,16 @@ METHODS = ["exact", "fuzzy", "tfidf"]
 def exact_match(left: DataFrame, right: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Inner match on equal columns (all common ones by default); a NULL key equals a NULL key.
 
-    Key columns appear once; other columns present on both sides get ``_1`` and ``_2``.
+    Key columns appear once; other columns present on both sides get ``_1`` and ``_2``. Keys with many rows on both sides, NULL ones
+    among them, are dealt over many tasks.
     """
     keys = common_columns(left, right, columns)
     shared = {c for c in left.columns if c in right.columns and c not in keys}
-    a, b = left.alias("_a"), right.alias("_b")
-    same = reduce(lambda x, y: x & y, [F.col(f"_a.`{c}`").eqNullSafe(F.col(f"_b.`{c}`")) for c in keys])
-    out = [F.col(f"_a.`{c}`").alias(f"{c}_1" if c in shared else c) for c in left.columns]
-    out += [F.col(f"_b.`{c}`").alias(f"{c}_2" if c in shared else c) for c in right.columns if c not in keys]
-    return a.join(b, same).select(*out)
+    a = left.select(*[as_column(c).alias(f"{c}_x") for c in left.columns])
+    b = right.select(*[as_column(c).alias(f"{c}_y") for c in right.columns])
+    out = [as_column(f"{c}_x").alias(f"{c}_1" if c in shared else c) for c in left.columns]
+    out += [as_column(f"{c}_y").alias(f"{c}_2" if c in shared else c) for c in right.columns if c not in keys]
+    return dealt_join(a, b, {f"{c}_x": f"{c}_y" for c in keys}, null_equal=True).select(*out)
 
 
 def self_match(
@@ -60,16 +61,16 @@ def rule_match(left: DataFrame, right: DataFrame, equal: list[str], within: dict
     validate_columns(right, [*equal, *within])
     a = left.select(*[as_column(c).alias(f"{c}_1") for c in left.columns])
     b = right.select(*[as_column(c).alias(f"{c}_2") for c in right.columns])
-    test = [F.col(f"{c}_1") == F.col(f"{c}_2") for c in equal]
+    on = {f"{c}_1": f"{c}_2" for c in equal}
     if within:
         name, width = next(iter(within.items()))
         step = width or 1.0
         a = a.withColumn("_cell", F.floor(F.col(f"{name}_1") / step))
         near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col(f"{name}_2") / step) + d)
         b = b.withColumn("_near", F.explode(near))
-        test.append(F.col("_cell") == F.col("_near"))
-    test += [F.abs(F.col(f"{c}_1") - F.col(f"{c}_2")) <= tol for c, tol in within.items()]
-    return a.join(b, reduce(lambda x, y: x & y, test)).drop("_cell", "_near")
+        on["_cell"] = "_near"
+    test = [F.abs(F.col(f"{c}_1") - F.col(f"{c}_2")) <= tol for c, tol in within.items()]
+    return dealt_join(a, b, on).filter(reduce(lambda x, y: x & y, test, F.lit(True))).drop("_cell", "_near")
 
 
 def hybrid_match(left: DataFrame, right: DataFrame, columns: list[str], threshold: float = 0.8) -> DataFrame:

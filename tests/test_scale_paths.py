@@ -206,3 +206,23 @@ def test_samples_do_not_depend_on_partitions(spark):
     largest = df.filter("label = 'most'").count()
     assert sizes == {"rare": largest, "some": largest, "most": largest}
     assert more.filter("label = 'most'").select("id").distinct().count() == largest
+
+
+def test_hot_keys_on_both_sides_are_dealt_over_tasks(spark):
+    """A third of the rows of either side have no key: the grid of blocks gives the same pairs, in pieces of bounded size."""
+    a = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 400).alias("k"), F.col("id").alias("x"))
+    b = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id") % 500).alias("j"), F.col("id").alias("y"))
+    for null_equal in (True, False):
+        same = F.col("k").eqNullSafe(F.col("j")) if null_equal else F.col("k") == F.col("j")
+        want = a.join(b, same).agg(F.count("*"), F.sum(F.xxhash64("k", "x", "y").cast("decimal(30,0)"))).first()
+        for pairs in (50, 10_000, 10_000_000):
+            got = joins.dealt_join(a, b, {"k": "j"}, pairs, null_equal)
+            assert got.columns == ["k", "x", "j", "y"]
+            assert got.agg(F.count("*"), F.sum(F.xxhash64("k", "x", "y").cast("decimal(30,0)"))).first() == want
+
+
+def test_few_hot_rows_meet_a_long_side(spark):
+    a, b = spark.range(2000).selectExpr("1L AS k", "id AS x"), spark.range(3).selectExpr("1L AS j", "id AS y")
+    got = joins.dealt_join(a, b, {"k": "j"}, 100)
+    assert got.count() == got.distinct().count() == 6000
+    assert joins.dealt_join(a.limit(0), b, {"k": "j"}).count() == 0
