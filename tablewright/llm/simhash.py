@@ -201,108 +201,11 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, segments
     )
 
 
-# Links by given fingerprints of words and shingles; one_of_each_group searches and judges by the shingles themselves.
-
 SIMILAR = 0.8
-_SEARCH, _CHECK = ("words_a", "words_b"), ("shingles_a", "shingles_b")
-
-
-def _similar(distance: int):
-    """Pairs of places that are similar, among rows of one run: fingerprints of the shingles differ in few enough bits."""
-
-    def near(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((a[i] ^ a[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b[i] ^ b[j]).view(np.uint64)) <= distance
-
-    return near
+GROUP = 1024  # different texts at one key up to which one task judges them
 
 
-def _compare_texts(distance: int, crowd: int | None):
-    """Task function over rows sorted by key and blocks: links (a, b) of each run as a star; with ``crowd``, the members of longer runs
-    as they are, with b null, instead."""
-    near = _similar(distance)
-    names = ["key", "low", "high", "block", "id", "mask", *_CHECK]
-
-    def links(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        run = np.cumsum(np.append(True, (columns["key"][1:] != columns["key"][:-1]) | (columns["low"][1:] != columns["low"][:-1]) | (columns["high"][1:] != columns["high"][:-1])))
-        found = [(np.zeros(0, np.int64),) * 2]
-        at, step = np.arange(len(run)), 1
-        while len(at := at[at < len(run) - step]) and len(at := at[run[at] == run[at + step]]):
-            to = at + step
-            ok = near(columns[_CHECK[0]], columns[_CHECK[1]], at, to)
-            ok &= (columns["low"][at] == columns["high"][at]) | (columns["block"][at] != columns["block"][to])
-            # Equal segments meet at all points of their ball and count at their own; others meet at two points and count at the lower one.
-            here, flips = columns["key"][at] & 0xFFFFFFFF, columns["mask"][at] ^ columns["mask"][to]
-            ok &= np.where(flips == 0, columns["mask"][at] == 0, here < here ^ flips)
-            if ok.any():
-                found.append(_star(columns["id"][at[ok]], columns["id"][to[ok]]))
-            step += 1
-        return _star(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    def rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-        to = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-        return pa.record_batch([pa.array(a), to, pa.array(key), pa.array(mask)], names=["a", "b", "key", "mask"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowded = {c: np.zeros(0, np.int64) for c in names}, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: np.concatenate([held[c], batch.column(c).to_numpy()]) for c in names}
-            new = np.append(True, (now["key"][1:] != now["key"][:-1]) | (now["low"][1:] != now["low"][:-1]) | (now["high"][1:] != now["high"][:-1]))
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(new)))
-            out = np.zeros(len(first), bool)
-            if crowd is not None:
-                out = (size > crowd) | (now["key"][first] == crowded if crowded is not None else False)
-                inside = np.repeat(out, size)
-                if inside.any():
-                    yield rows(now["id"][inside], None, now["key"][inside], now["mask"][inside])
-                crowded = now["key"][-1] if out[-1] else None
-            last = np.zeros(len(new), bool)
-            if not out[-1]:
-                last[first[-1] :] = True
-            done = ~last & ~np.repeat(out, size)
-            held = {c: v[last] for c, v in now.items()}
-            if done.any():
-                a, b = links({c: v[done] for c, v in now.items()})
-                yield rows(a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
-        if len(held["key"]):
-            a, b = links(held)
-            yield rows(a, b, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
-
-    return run
-
-
-def similar_links(texts: DataFrame, distance: int, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between ids of different texts that meet at a key of either word fingerprint and have similar shingles.
-
-    Members of a crowded key are dealt into blocks, and each pair of blocks is compared on its own, so every pair is judged.
-    """
-    bits, masks, tables = 32, _ball(32, 1), []
-    for table, column in enumerate(_SEARCH):
-        for s in range(2):
-            segment = F.shiftrightunsigned(column, s * bits).bitwiseAND(F.lit((1 << bits) - 1))
-            start = F.shiftleft(F.lit(2 * table + s).cast("long"), bits)
-            points = [(start + segment.bitwiseXOR(F.lit(m)), F.lit(m).cast("long")) for m in masks]
-            tables += [F.struct(key.alias("key"), mask.alias("mask")) for key, mask in points]
-    keyed = texts.select(F.explode(F.array(*tables)).alias("point"), "id", *_CHECK).select("point.*", "id", *_CHECK)
-    zero = F.lit(0).cast("long")
-    plain = keyed.withColumns({"low": zero, "high": zero, "block": zero}).repartition("key").sortWithinPartitions("key", "id")
-    kinds = "a long, b long, key long, mask long"
-    found = write_table(plain.mapInArrow(_compare_texts(distance, crowd), kinds), "similar")
-    crowds = found.where("b IS NULL").select("key", "mask", F.col("a").alias("id"))
-    sizes = crowds.groupBy("key").count()
-    links = found.where("b IS NOT NULL").select("a", "b")
-    if crowds.isEmpty():
-        return links
-    met = crowds.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / crowd))
-    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    met = met.select("key", "mask", "id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = met.join(texts.select("id", *_CHECK), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    return links.union(dealt.mapInArrow(_compare_texts(distance, None), kinds).select("a", "b"))
-
-
-def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMILAR, crowd: int = GROUP) -> DataFrame:
     """The documents with the smallest id of each group of similar texts, with all their columns.
 
     Similarity is the Jaccard similarity of the different shingles, verified for every link (:mod:`.minhash`). Documents are told apart

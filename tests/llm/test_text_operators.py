@@ -10,9 +10,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablewright.llm import arrowfile, packing, sharding, simhash, suffixes
+from tablewright.llm import arrowfile, decontam, minhash, packing, sharding, simhash, suffixes
 from tablewright.llm.textbytes import slices
 from tablewright.llm.tokens import Encoder
 
@@ -263,42 +264,6 @@ def test_empty_tables(empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2048, 3])
-def test_similar_links(spark, crowd):
-    """Texts are linked if one segment of a word fingerprint is at most two bits apart and the shingles are near."""
-    rng = random.Random(11)
-
-    def moved(x, most):
-        return x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
-
-    rows = []
-    for _ in range(30):
-        centre = [rng.getrandbits(64) for _ in range(4)]
-        for _ in range(rng.randint(1, 7)):
-            rows.append([moved(centre[0], 6), moved(centre[1], 6), moved(centre[2], 12), moved(centre[3], 12)])
-    rows += [[r[0], r[1], moved(r[2], 20), r[3]] for r in rows[:20]]  # the same words in another order
-
-    def bits(x):
-        return bin(x).count("1")
-
-    def linked(a, b):
-        parts = [(a[t] ^ b[t]) >> s & 0xFFFFFFFF for t in (0, 1) for s in (0, 32)]
-        return min(map(bits, parts)) <= 2 and bits(a[2] ^ b[2]) + bits(a[3] ^ b[3]) <= 24
-
-    root, changed = list(range(len(rows))), True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            for j in range(i):
-                if root[i] != root[j] and linked(rows[i], rows[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-                    changed = True
-    signed = [[x - (1 << 64) if x >> 63 else x for x in r] for r in rows]
-    table = spark.createDataFrame([(i, *r) for i, r in enumerate(signed)], "id long, words_a long, words_b long, shingles_a long, shingles_b long")
-    got = simhash.components(simhash.similar_links(table, 24, crowd)).collect()
-    assert {(r.node, r.root) for r in got} == {(i, r) for i, r in enumerate(root) if root.count(r) > 1}
-
-
 def brute_similar(texts, similarity=0.8):
     """For each text the least place that it reaches by steps of that Jaccard similarity of five-word shingles."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
@@ -366,3 +331,48 @@ def test_repeats_of_an_id_with_very_many_rows(spark):
     got = sorted((r[0] or 0, *r[1:]) for r in suffixes.remove_repeats(docs).select(*COLUMNS).collect())
     want = brute_cut(sorted(((i or 0, t) for i, t in rows)))
     assert got == sorted(want)
+
+
+def test_number_dense_items_and_item_ids(spark):
+    """All windows of an item count; those of few literal words only beside others or with their values; items are told apart by id and text."""
+    items = [
+        (1, "what is 3 4 5 6 7 8"),
+        (2, "12 + 7 = 19 and 4 * 5 = 20 so the sum of both is 39"),
+        (3, "10 20 30 40 50 60 70 80"),
+        (4, "a train leaves the station at 9 and goes 80 km to the north"),
+        (4, "every clerk in the office wrote 12 letters before lunch on monday"),
+        (None, "the baker sold 40 loaves of rye bread and 15 cakes that day"),
+    ]
+    texts = [
+        "tell me what is 99 88 77 66 55 pieces of other text entirely",  # a shared phrase only
+        "tell me what is 99 88 77 66 55 44 then",  # the question with other numbers
+        "first 13 + 8 = 21 and 5 * 6 = 30 so the sum of both is 51 indeed",
+        "the row 10 20 30 40 50 60 70 80 as it stands",
+        "the row 11 21 31 41 51 61 71 81 is another one",
+        "yes a train leaves the station at 7 and goes 65 km to the north today",
+        "and every clerk in the office wrote 31 letters before lunch on monday",
+        "the baker sold 33 loaves of rye bread and 12 cakes that day",
+        "a train leaves the station. much later and after very many other words " + "filler " * 60 + " it goes 80 km to the north",
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("clash") for c in ("key", "item", "place", "kind")})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, benchmark.union(benchmark)).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 4), (7, None)}
+    assert {r.doc_id for r in decontam.without_leaks(docs, benchmark).collect()} == {0, 4, 8}
+
+
+def test_a_family_of_one_template_sends_links_in_proportion(spark, monkeypatch):
+    rng = random.Random(24)
+    words = [f"t{i}" for i in range(60)]
+    texts = []
+    for _ in range(300):
+        changed = list(words)
+        for at in rng.sample(range(60), 2):
+            changed[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(changed))
+    written = {}
+    monkeypatch.setattr(minhash, "write_table", lambda df, name, keep=minhash.write_table: written.setdefault(name, keep(df, name)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each_group(docs).collect()}
+    assert got == {i for i, r in enumerate(brute_similar(texts)) if r == i}
+    assert written["still_apart"].count() <= written["shared_keys"].count()
