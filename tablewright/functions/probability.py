@@ -91,3 +91,11 @@ def gamma_p(shape: float, x):
                 break
         out[high] = 1.0 - np.exp(log_front(v)) * h
     return out
+
+
+def digamma(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function of a positive number: ten steps up, then the asymptotic series."""
+    value = x.cast("double")
+    y = value + 10
+    series = F.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
+    return series - sum((1 / (value + i) for i in range(1, 10)), 1 / value)

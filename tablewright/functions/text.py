@@ -107,7 +107,8 @@ def decode_references(value: str | Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)))
     last = lambda x: F.lower(x).isin("&amp;", "&#38;", "&#x26;")
     ordered = F.concat(F.filter(found, lambda x: ~last(x)), F.filter(found, last))
-    return F.when(F.size(found) > 0, F.aggregate(ordered, col, decoded)).otherwise(col)
+    # Few values hold a reference at all; the others are spared the search.
+    return F.when(col.contains("&") & (F.size(found) > 0), F.aggregate(ordered, col, decoded)).otherwise(col)
 
 
 def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/()'&+-") -> Column:

@@ -57,8 +57,8 @@ def sketch_quantiles(df: DataFrame, sketched: dict[str, bytes], probs: dict[str,
     return {c: list(row[f"q{i}"]) for i, c in enumerate(names)}
 
 
-def bucketed(df: DataFrame, columns: dict[str, Column], bucket_rows: int | None = None) -> DataFrame:
-    """Add ``_b_<name>``: the index of the value range each expression falls in, as an int."""
+def range_bounds(df: DataFrame, columns: dict[str, Column], bucket_rows: int | None = None) -> dict[str, list[float]]:
+    """Inner bounds that cut each expression into ranges of about ``bucket_rows`` rows; none where one range will do."""
     bucket_rows = bucket_rows or BUCKET_ROWS
     counts = df.agg(*[F.count(col).alias(f"n{i}") for i, col in enumerate(columns.values())]).first()
     wanted = {c: min(MAX_BUCKETS, math.ceil(counts[i] / bucket_rows)) for i, c in enumerate(columns)}
@@ -68,17 +68,24 @@ def bucketed(df: DataFrame, columns: dict[str, Column], bucket_rows: int | None
         sketched = sketch(df, split)
         probs = {c: [j / wanted[c] for j in range(1, wanted[c])] for c in split}
         bounds = sketch_quantiles(df, {c: sketched[c][1] for c in split}, probs)
-    out = df
+    return {c: sorted(set(bounds.get(c, []))) for c in columns}
+
+
+def in_range(df: DataFrame, value: Column, bounds: list[float], name: str) -> DataFrame:
+    """Add ``name``: the index of the range that ``value`` falls in, as an int."""
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_v", outputCol="_d", handleInvalid="keep")
+    out = cut.transform(df.withColumn("_v", value.cast("double")))
+    return out.withColumn(name, F.col("_d").cast("int")).drop("_v", "_d")
+
+
+def bucketed(df: DataFrame, columns: dict[str, Column], bucket_rows: int | None = None) -> DataFrame:
+    """Add ``_b_<name>``: the index of the value range each expression falls in, as an int."""
+    bounds = range_bounds(df, columns, bucket_rows)
     for c, col in columns.items():
-        inner = sorted(set(bounds.get(c, [])))
-        if not inner:
-            out = out.withColumn(f"_b_{c}", F.lit(0))
-            continue
-        out = Bucketizer(
-            splits=[-math.inf, *inner, math.inf], inputCol="_v", outputCol="_d", handleInvalid="keep"
-        ).transform(out.withColumn("_v", col.cast("double")))
-        out = out.withColumn(f"_b_{c}", F.col("_d").cast("int")).drop("_v", "_d")
-    return out
+        df = in_range(df, col, bounds[c], f"_b_{c}")
+    return df
 
 
 def sorted_counts(df: DataFrame, columns: list[str], bucket_rows: int | None = None) -> DataFrame:

@@ -188,14 +188,15 @@ class ValueRules:
 
 
 def normalize_table(df: DataFrame, rules: ValueRules) -> DataFrame:
-    """Apply the value rules in one projection; new columns follow the old ones."""
+    """Apply the value rules without a shuffle; new columns follow the old ones.
+
+    Rules that later ones build on have projections of their own, so that they are evaluated once a value.
+    """
     validate_columns(df, rules.columns())
+    df = replace_columns(df, {c: strip_special(c) for c in rules.special})
+    df = replace_columns(df, {c: null_tokens_to_empty(c) for c in rules.nulls})
     current: dict[str, Column] = {c: as_column(c) for c in df.columns}
     extra: dict[str, Column] = {}
-    for c in rules.special:
-        current[c] = strip_special(current[c])
-    for c in rules.nulls:
-        current[c] = null_tokens_to_empty(current[c])
     for c, new in rules.embedded.items():
         current[c], extra[new] = extract_embedded(current[c])
     for c in rules.dates:

@@ -317,10 +317,25 @@ def select_kbest(t: Tables):
     return rounded(report, 5)
 
 
-_mutual = """SELECT '{c}' AS feature, round(greatest(0, sum(n / t * ln(n * t / (nb * ny)))), 6) AS importance FROM (
-    SELECT count(*) AS n, sum(count(*)) OVER () AS t, sum(count(*)) OVER (PARTITION BY b) AS nb, sum(count(*)) OVER (PARTITION BY y) AS ny FROM (
-      SELECT l_returnflag AS y, len(list_filter(q, lambda e: {c} > e)) AS b FROM lineitem,
-        (SELECT list_distinct(quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS q FROM lineitem)) GROUP BY y, b)"""
+def _digamma(x: str) -> str:
+    y = f"({x} + 10.0)"
+    steps = " - ".join(f"1 / ({x} + {i}.0)" for i in range(10))
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) - {steps})"
+
+
+# The third neighbour within the class among the values beside, then the points of all classes nearer than it.
+_mutual = f"""SELECT '{{c}}' AS feature, round(greatest(0, {_digamma('sum(n)')} + sum(n * ({_digamma('k')} - {_digamma('ny')} - {_digamma('m')})) / sum(n)), 6) AS importance
+    FROM (WITH a AS (SELECT l_returnflag AS y, CAST({{c}} AS DOUBLE) AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+    b AS (SELECT *, sum(n) OVER (PARTITION BY y) AS ny FROM a), e AS (SELECT y, v, n, ny, least(3, ny - 1) AS k FROM b WHERE ny > 1),
+    s AS (SELECT *, [{{{{'d': 0.0, 'o': v, 'n': n - 1}}}}, {', '.join(f"{{{{'d': abs(v - {f}(v, {i}) OVER w), 'o': {f}(v, {i}) OVER w, 'n': {f}(n, {i}) OVER w}}}}" for i in (1, 2, 3) for f in ('lag', 'lead'))}] AS l
+      FROM e WINDOW w AS (PARTITION BY y ORDER BY v)),
+    t AS (SELECT y, v, n, ny, k, list_filter(l, lambda x: x.d IS NOT NULL) AS l FROM s),
+    r AS (SELECT y, v, n, ny, k, list_min(list_transform(list_filter(l, lambda x: list_sum(list_transform(l, lambda z: CASE WHEN z.d <= x.d THEN z.n ELSE 0 END)) >= k),
+      lambda x: {{{{'d': x.d, 'o': x.o}}}})) AS q FROM t),
+    i AS (SELECT y, v, n, ny, k, q.d = 0 AS tied, CASE WHEN q.o < v THEN q.o ELSE v - q.d END AS low, CASE WHEN q.o > v THEN q.o ELSE v + q.d END AS high FROM r),
+    c AS (SELECT v AS x, sum(sum(n)) OVER (ORDER BY v) AS upto, sum(n) AS own FROM e GROUP BY v)
+    SELECT i.n, i.ny, i.k, CASE WHEN tied THEN same.own ELSE hi.upto - coalesce(lo.upto, 0) END AS m
+    FROM i JOIN c same ON same.x = i.v ASOF LEFT JOIN c hi ON i.high > hi.x ASOF LEFT JOIN c lo ON i.low >= lo.x)"""
 
 
 @query(" UNION ALL ".join(_mutual.format(c=c) for c in SCORED))
