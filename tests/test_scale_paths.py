@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import joins, ordering, strings, vectors
+from tablewright.operators import features, joins, ordering, strings, vectors
 from tablewright.operators.distribution import autocorr_lag1, ks_statistics, spatial_correlation
 from tablewright.operators.impute import fit_iterative, impute_knn
 from tablewright.operators.power import even_quantiles, fit_power
@@ -226,3 +226,53 @@ def test_few_hot_rows_meet_a_long_side(spark):
     got = joins.dealt_join(a, b, {"k": "j"}, 100)
     assert got.count() == got.distinct().count() == 6000
     assert joins.dealt_join(a.limit(0), b, {"k": "j"}).count() == 0
+
+
+def neighbour_information(values, classes, k=3):
+    """The estimator over all pairs of points."""
+    from collections import Counter
+
+    def psi(x):
+        return -0.5772156649015329 + sum(1 / i for i in range(1, x))
+
+    sizes = Counter(c for v, c in zip(values, classes) if v is not None)
+    points = [(v, c) for v, c in zip(values, classes) if v is not None and sizes[c] > 1]
+    total = psi(len(points))
+    for i, (v, c) in enumerate(points):
+        near = min(k, sizes[c] - 1)
+        r = sorted(abs(v - w) for j, (w, d) in enumerate(points) if d == c and j != i)[near - 1]
+        m = sum(w == v if r == 0 else abs(w - v) < r for w, _ in points)
+        total += (psi(near) - psi(sizes[c]) - psi(m)) / len(points)
+    return max(0.0, total)
+
+
+@pytest.mark.parametrize("bucket_rows", [None, 7, 40])
+def test_mutual_information_by_neighbours_on_any_ranges(spark, bucket_rows):
+    draw = random.Random(8)
+    rows = []
+    for i in range(150):
+        y = draw.choice(["a", "a", "b", "c"])
+        rows.append((y, draw.choice([None, draw.randrange(4096) / 4096 + (y == "b")]), float(draw.randrange(5)), {"a": 1.0, "b": 2.0, "c": 3.0}[y], i / 64))
+    rows += [("single", 0.5, 1.0, 1.0, 1.0), (None, 0.1, 2.0, 2.0, 2.0), ("d", 9.0, None, 7.0, None), ("d", 9.5, None, 7.0, None)]
+    df = spark.createDataFrame(rows, "y string, shifted double, few double, told double, spread double").repartition(4)
+    got = {r["feature"]: r["importance"] for r in features.mutual_information(df, ["shifted", "few", "told", "spread"], "y", bucket_rows=bucket_rows).collect()}
+    known = [r for r in rows if r[0] is not None]
+    for i, name in enumerate(["shifted", "few", "told", "spread"]):
+        assert got[name] == pytest.approx(neighbour_information([r[i + 1] for r in known], [r[0] for r in known]), abs=1e-9), name
+
+
+def test_tfidf_pairs_equal_all_pairs_at_several_thresholds(spark):
+    draw = random.Random(9)
+    words = [f"w{int(draw.paretovariate(0.8)) % 300}" for _ in range(2000)]
+    texts = [" ".join(draw.choices(words, k=draw.choice([1, 3, 30, 80]))) for _ in range(120)]
+    texts += [t + " " + draw.choice(words) for t in texts[:60]] + texts[:10] + ["", "!!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    counts = {i: {w: t.lower().split().count(w) for w in t.lower().split()} for t, i in first.items() if any(c.isalnum() for c in t)}
+    df_of = {w: sum(w in c for c in counts.values()) for c in counts.values() for w in c}
+    raw = {i: {w: n * (math.log((1 + len(first)) / (1 + df_of[w])) + 1) for w, n in c.items()} for i, c in counts.items()}
+    unit = {i: {w: x / math.sqrt(sum(v * v for v in c.values())) for w, x in c.items()} for i, c in raw.items()}
+    cosine = {(i, j): sum(x * unit[j].get(w, 0.0) for w, x in unit[i].items()) for i in unit for j in unit if i < j}
+    for threshold in (0.5, 0.9):
+        got = {(r.id_1, r.id_2): r.similarity for r in strings.tfidf_match(df, "id", "text", threshold).collect()}
+        assert got.keys() == {p for p, s in cosine.items() if s >= threshold} and all(s == pytest.approx(cosine[p]) for p, s in got.items())
