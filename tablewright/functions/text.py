@@ -92,23 +92,29 @@ def decode_references(value: str | Column) -> Column:
     col = as_column(value)
     names = F.create_map(*[F.lit(x) for pair in sorted(name2codepoint.items()) for x in pair])
 
-    def decoded(text: Column, found: Column) -> Column:
+    def code(found: Column) -> Column:
         body = F.substring(found, 2, F.length(found) - 2)
-        code = (
-            F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).try_cast("int"))
-            .when(body.startswith("#"), F.substring(body, 2, 8).try_cast("int"))
-            .otherwise(names[body])
+        return (
+            F.when(~body.startswith("#"), names[body])
+            .when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).try_cast("int"))
+            .otherwise(F.substring(body, 2, 8).try_cast("int"))
         )
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+
+    def decoded(text: Column, x: Column) -> Column:
+        valid = (x.code > 0) & (x.code < 0x110000) & ~x.code.between(0xD800, 0xDFFF)
         # Four bytes are the character in UTF-32.
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
-        return F.when(valid, F.replace(text, found, char)).otherwise(text)
+        char = F.when(x.code < 128, F.char(x.code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(x.code.cast("long")), 8, "0")), "UTF-32"))
+        return F.when(valid, F.replace(text, x.found, char)).otherwise(text)
 
-    found = F.array_distinct(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)))
     last = lambda x: F.lower(x).isin("&amp;", "&#38;", "&#x26;")
-    ordered = F.concat(F.filter(found, lambda x: ~last(x)), F.filter(found, last))
-    # Few values hold a reference at all; the others are spared the search.
-    return F.when(col.contains("&") & (F.size(found) > 0), F.aggregate(ordered, col, decoded)).otherwise(col)
+
+    def replaced(found: Column) -> Column:
+        ordered = F.concat(F.filter(found, lambda x: ~last(x)), F.filter(found, last))
+        return F.aggregate(F.transform(ordered, lambda x: F.struct(x.alias("found"), code(x).alias("code"))), col, decoded)
+
+    # Every step is an argument of the next one, so that it is evaluated once; values without an ampersand are spared the search.
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0)))
+    return F.when(col.contains("&"), F.element_at(F.transform(F.array(found), replaced), 1)).otherwise(col)
 
 
 def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/()'&+-") -> Column:

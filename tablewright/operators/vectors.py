@@ -1,8 +1,10 @@
 """Exact nearest rows in a vector space.
 
-A small donor side is broadcast. A larger one is cut into cells around sampled centres; the centre
+Both sides are dealt into blocks, and every pair of blocks is searched by a task of its own that keeps the k nearest rows of each query.
+With many donors of few dimensions the donors are cut into cells around sampled centres instead; the centre
 distances bound how far a query's k-th neighbour can be, and a query only visits cells that reach
-inside this bound. Every visit returns at most k rows per query, so all pairs are never produced.
+inside this bound. (With many dimensions such bounds exclude nothing, and blocks read less.) Every search returns at most k rows
+per query, so all pairs are never produced. No donor rows come to the driver but the sampled centres.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ from ..functions.columns import as_column
 from ..functions.hashing import row_hash
 
 
-BROADCAST_DONORS = 20_000
+CELL_DONORS = 20_000
+CELL_DIMENSIONS = 12
+BLOCK_ROWS = 8_192
 CELL_ROWS = 4_000
 MAX_CELLS = 4_096
 VISIT_ROWS = 20_000
@@ -74,35 +78,53 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def nearest_rows(
-    queries: DataFrame, donors: DataFrame, k: int, mode: str = ANY, broadcast_donors: int | None = None, cell_rows: int | None = None
+    queries: DataFrame, donors: DataFrame, k: int, mode: str = ANY, cell_donors: int | None = None, cell_rows: int | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """``q, item, n, dist2``: each query's k nearest donors, ties by the smaller item.
 
     ``queries`` has ``q`` and ``vec``; ``donors`` has ``item``, ``vec`` and ``n``, the number of equal rows
-    it stands for. ``mode`` ``later`` only takes donors with ``item > q`` and ``other`` only ``item != q``.
+    it stands for. ``mode`` ``later`` only takes donors with ``item > q`` and ``other`` only ``item != q``. More than ``cell_donors``
+    donors of at most ``CELL_DIMENSIONS`` dimensions are searched by cells, all others by blocks of ``block_rows``.
     """
-    limit = BROADCAST_DONORS if broadcast_donors is None else broadcast_donors
     types = {"q": queries.schema["q"].dataType.simpleString(), "item": donors.schema["item"].dataType.simpleString()}
     out = OUT.format(**types)
-    rows = donors.select("item", "vec", "n").limit(limit + 1).collect() if limit else None
-    if rows is not None and len(rows) <= limit:
-        if not rows:
-            return queries.sparkSession.createDataFrame([], out)
-        item = np.array([r["item"] for r in rows])
-        dv, n = np.array([r["vec"] for r in rows], dtype=float), np.array([r["n"] for r in rows])
-
-        def local(frames):
-            for f in frames:
-                yield _nearest(f["q"].to_numpy(), _matrix(f["vec"]), item, dv, n, k, mode)
-
-        # Over all cores: the queries of a small table often stand in one partition.
-        return queries.select("q", "vec").repartition("q").mapInPandas(local, out)
-    found = _by_cells(queries, donors, k, mode, out, cell_rows or CELL_ROWS)
+    size = donors.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dimensions")).first()
+    if not size.rows:
+        return queries.sparkSession.createDataFrame([], out)
+    if size.rows > (CELL_DONORS if cell_donors is None else cell_donors) and size.dimensions <= CELL_DIMENSIONS:
+        found = _by_cells(queries, donors, k, mode, out, cell_rows or CELL_ROWS)
+    else:
+        found = _by_blocks(queries, donors, size.rows, k, mode, out, block_rows or BLOCK_ROWS)
     nearest = Window.partitionBy("q").orderBy("dist2", "item")
     before = F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     return found.withColumn("_before", before).filter(F.col("_before") < k).drop("_before")
 
 
+def _search(k: int, mode: str):
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"q": [], "item": [], "n": [], "dist2": []})
+        return _nearest(
+            left["q"].to_numpy(), _matrix(left["vec"]), right["item"].to_numpy(), _matrix(right["vec"]), right["n"].to_numpy(), k, mode
+        )
+
+    return search
+
+
+def _by_blocks(queries: DataFrame, donors: DataFrame, size: int, k: int, mode: str, out: str, block_rows: int) -> DataFrame:
+    """Every pair of a block of queries and a block of donors is one group; small tables still make work for all cores."""
+    asked = queries.count()
+    spread = min(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(asked / CHUNK))
+    rows, cols = max(1, math.ceil(asked / block_rows), spread), max(1, math.ceil(size / block_rows))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = queries.select("q", "vec", F.pmod(F.xxhash64("q"), F.lit(rows)).cast("int").alias("a")).withColumn("b", every(cols))
+    right = donors.select("item", "vec", "n", F.pmod(F.xxhash64("item", "vec"), F.lit(cols)).cast("int").alias("b")).withColumn("a", every(rows))
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_search(k, mode), out)
+
+
 def _by_cells(queries: DataFrame, donors: DataFrame, k: int, mode: str, out: str, cell_rows: int) -> DataFrame:
     size = donors.count()
     wanted = min(MAX_CELLS, math.ceil(size / cell_rows))
@@ -182,16 +204,9 @@ def _by_cells(queries: DataFrame, donors: DataFrame, k: int, mode: str, out: str
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     )
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "item": [], "n": [], "dist2": []})
-        return _nearest(
-            left["q"].to_numpy(), _matrix(left["vec"]), right["item"].to_numpy(), _matrix(right["vec"]), right["n"].to_numpy(), k, mode
-        )
-
     by = ["cell", "part", "copy"]
     return (
-        visits.select("q", "vec", *by).groupBy(*by).cogroup(homes.select("item", "vec", "n", *by).groupBy(*by)).applyInPandas(search, out)
+        visits.select("q", "vec", *by).groupBy(*by).cogroup(homes.select("item", "vec", "n", *by).groupBy(*by)).applyInPandas(_search(k, mode), out)
     )
 
 

@@ -70,7 +70,7 @@ def test_nearest_rows_by_cells(spark, mode):
     donors = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "item bigint, vec array<double>, n bigint")
     queries = donors.select(F.col("item").alias("q"), "vec")
     got = {}
-    for r in vectors.nearest_rows(queries, donors, 4, mode, broadcast_donors=0, cell_rows=30).collect():
+    for r in vectors.nearest_rows(queries, donors, 4, mode, cell_donors=0, cell_rows=30).collect():
         got.setdefault(r["q"], set()).add(r["item"])
     for q, p in enumerate(points):
         d = ((points - p) ** 2).sum(1)
@@ -79,7 +79,7 @@ def test_nearest_rows_by_cells(spark, mode):
         assert got.get(q, set()) == want
 
 
-@pytest.mark.parametrize("sizes", [{}, {"broadcast_donors": 0, "cell_rows": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"cell_donors": 0, "cell_rows": 20}, {"block_rows": 16}])
 def test_knn_brute_force(spark, sizes):
     rng = np.random.default_rng(5)
     data = rng.normal(0, 3, (120, 3))
