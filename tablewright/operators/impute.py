@@ -22,7 +22,7 @@ from ..session import write_table
 from .joins import lookup_join
 from .missing import blanks_to_null, columns_with_missing
 from .quantiles import exact_quantiles
-from .vectors import nearest_rows
+from .vectors import nearest_incomplete
 
 METHODS = ["mean", "median", "most_frequent", "constant", "knn", "iterative"]
 SCALERS = ["standard", "minmax"]
@@ -102,9 +102,8 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
     """Mean of the k nearest rows that have the column, by the distance over the columns both rows have.
 
     Squared distances are scaled up by (columns / columns in common); equal distances prefer the smaller
-    value, and a cell without any comparable row gets the column mean. Rows are grouped by which columns
-    they have: within a pair of such groups the common columns are fixed and the search is a plain
-    Euclidean one. Equal rows are searched once.
+    value, and a cell without any comparable row gets the column mean. Equal rows are searched once, and one search answers for all
+    combinations of missing columns (:func:`.vectors.nearest_incomplete`).
     """
     names = validate_columns(df, columns)
     size = len(names)
@@ -112,53 +111,17 @@ def impute_knn(df: DataFrame, columns: Sequence[str], k: int = NEIGHBOURS, **siz
         return fit_simple(df, "mean", names).transform(df)
     means = fit_simple(df, "mean", names)
     # Grouping turns -0.0 into 0.0, so the search keys must not tell them apart either.
-    value = {c: F.when(number(df, c) == 0, 0.0).otherwise(number(df, c)) for c in names}
-    vector = F.array(*value.values())
-    rows = df.select(_pattern(df, names).alias("p"), vector.alias("v"))
-    counts = {r["p"]: r["n"] for r in rows.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    incomplete = [p for p in counts if "0" in p and "1" in p]
-    filled = None
-    for p in incomplete:
-        have = _present(p)
-        asked = F.array(*[F.col("v")[i] for i in have])
-        queries = rows.filter(F.col("p") == p).select(asked.alias("have")).distinct()
-        for target in [i for i in range(size) if p[i] == "0"]:
-            found = None
-            for other in [o for o in counts if o[target] == "1"]:
-                shared = [i for i in have if other[i] == "1"]
-                if not shared:
-                    continue
-                donors = (
-                    rows.filter(F.col("p") == other)
-                    .groupBy(F.array(*[F.col("v")[i] for i in shared]).alias("vec"), F.col("v")[target].alias("item"))
-                    .agg(F.count("*").alias("n"))
-                )
-                places = [have.index(i) for i in shared]
-                spots = queries.select("have", F.array(*[F.col("have")[i] for i in places]).alias("vec"))
-                keyed = spots.select(F.to_json("have").alias("q"), "vec")
-                near = nearest_rows(keyed, donors, k, **sizes).withColumn(
-                    "dist2", F.col("dist2") * (size / len(shared))
-                )
-                found = near if found is None else found.unionByName(near)
-            if found is None:
-                continue
-            order = Window.partitionBy("q").orderBy("dist2", "item")
-            before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-            used = found.withColumn("before", before).filter(F.col("before") < k)
-            take = F.least(F.col("n"), F.lit(k) - F.col("before"))
-            fills = used.groupBy("q").agg((F.sum(F.col("item") * take) / F.sum(take)).alias("fill"))
-            part = fills.select(F.lit(p).alias("_p"), F.lit(target).alias("_t"), F.col("q").alias("_q"), "fill")
-            filled = part if filled is None else filled.unionByName(part)
-    if filled is None:
-        return means.transform(df)
+    vector = F.array(*[F.when(number(df, c) == 0, 0.0).otherwise(number(df, c).cast("double")) for c in names])
+    rows = df.select(vector.alias("v")).groupBy("v").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
+    rows = write_table(rows, "different_rows")
+    used = nearest_incomplete(rows, size, k, **sizes)
+    take = F.least(F.col("n"), F.lit(k) - F.col("before"))
+    fills = used.groupBy("id", "target").agg((F.sum(F.col("item") * take) / F.sum(take)).alias("fill"))
     # One row per incomplete combination with the fills of all its missing columns.
-    table = filled.groupBy("_p", "_q").agg(*[F.max(F.when(F.col("_t") == i, F.col("fill"))).alias(f"_f{i}") for i in range(size)])
-    cases = None
-    for p in incomplete:
-        coords = F.to_json(F.array(*[value[names[i]] for i in _present(p)]))
-        cases = F.when(F.col("_p") == p, coords) if cases is None else cases.when(F.col("_p") == p, coords)
-    keyed = df.withColumn("_p", _pattern(df, names)).withColumn("_q", cases)
-    joined = lookup_join(keyed, table, ["_p", "_q"])
+    table = fills.groupBy("id").agg(*[F.max(F.when(F.col("target") == i, F.col("fill"))).alias(f"_f{i}") for i in range(size)])
+    table = table.join(rows.select("id", F.to_json("v").alias("_q")), "id").drop("id")
+    keyed = df.withColumn("_q", F.to_json(vector))
+    joined = lookup_join(keyed, table, ["_q"])
     new = {
         c: F.coalesce(number(df, c), F.col(f"_f{i}"), F.lit(means.fills[c]).cast("double")) for i, c in enumerate(names)
     }

@@ -41,6 +41,25 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
+def _selected(ids, dist, item, n, k: int, take: int) -> tuple[np.ndarray, ...]:
+    """Of each row of ``dist`` the nearest donors by (distance, item) until k copies are reached; items in rising order, ``take`` are enough."""
+    if take < len(item):
+        # Keep every donor as near as the k-th one, then order those by distance and item.
+        bound = np.partition(dist, take - 1, axis=1)[:, take - 1]
+        rows, cols = np.nonzero((dist <= bound[:, None]) & np.isfinite(dist))
+    else:
+        rows, cols = np.nonzero(np.isfinite(dist))
+    near = dist[rows, cols]
+    order = np.lexsort((cols, near, rows))
+    rows, cols, near = rows[order], cols[order], near[order]
+    copies = n[cols]
+    upto = np.cumsum(copies)
+    first = np.searchsorted(rows, np.arange(len(ids)))
+    base = np.concatenate([[0], upto])[first]
+    keep = upto - copies - base[rows] < k
+    return ids[rows[keep]], item[cols[keep]], copies[keep], near[keep]
+
+
 def _nearest(q, qv, item, dv, n, k: int, mode: str) -> pd.DataFrame:
     """For each query its nearest donors by (distance, item) until k copies are reached."""
     parts = []
@@ -53,21 +72,7 @@ def _nearest(q, qv, item, dv, n, k: int, mode: str) -> pd.DataFrame:
             dist[item[None, :] <= ids[:, None]] = np.inf
         elif mode == OTHER:
             dist[item[None, :] == ids[:, None]] = np.inf
-        if take < len(item):
-            # Keep every donor as near as the k-th one, then order those by distance and item.
-            bound = np.partition(dist, take - 1, axis=1)[:, take - 1]
-            rows, cols = np.nonzero((dist <= bound[:, None]) & np.isfinite(dist))
-        else:
-            rows, cols = np.nonzero(np.isfinite(dist))
-        near = dist[rows, cols]
-        order = np.lexsort((cols, near, rows))
-        rows, cols, near = rows[order], cols[order], near[order]
-        copies = n[cols]
-        upto = np.cumsum(copies)
-        first = np.searchsorted(rows, np.arange(len(ids)))
-        base = np.concatenate([[0], upto])[first]
-        keep = upto - copies - base[rows] < k
-        parts.append((ids[rows[keep]], item[cols[keep]], copies[keep], near[keep]))
+        parts.append(_selected(ids, dist, item, n, k, take))
     if not parts:
         return pd.DataFrame({"q": [], "item": [], "n": [], "dist2": []})
     return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(["q", "item", "n", "dist2"])})
@@ -218,6 +223,113 @@ def _lookup(mapping: dict[int, int], key: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(1))
 
 
+def nearest_incomplete(rows: DataFrame, size: int, k: int, max_cells: int | None = None, part_rows: int | None = None) -> DataFrame:
+    """``id, target, item, n, dist2``: for every missing place of every vector the values at that place of the k nearest rows that have it.
+
+    ``rows`` has ``id``, ``v`` (``size`` places, missing ones NULL) and ``n``, the number of equal rows. Squared distances run over the places both
+    vectors have and are scaled up by (size / places in common); equal ones prefer the smaller value; rows without a common place are not compared.
+
+    All kinds of incomplete vectors are searched at once. Donors are cut into cells by which places they have and by quantiles of these. The
+    corners of a cell's box bound the distance from below and above over the places in common; a query visits the cells that may be nearer
+    than the upper bound that holds k donors. Cells of many rows are dealt into parts; at most ``max_cells`` boxes come to the driver.
+    """
+    part = part_rows or BLOCK_ROWS
+    have = F.concat_ws("", F.transform("v", lambda x: F.when(x.isNull(), "0").otherwise("1")))
+    rows = rows.withColumn("have", have)
+    known = rows.agg(F.count("*").alias("rows"), F.countDistinct("have").alias("kinds"), F.count_if(F.col("have").contains("0") & F.col("have").contains("1")).alias("asked")).first()
+    out = "id bigint, target int, item double, n bigint, dist2 double"
+    if not known.asked:
+        return rows.sparkSession.createDataFrame([], out)
+    limit = max_cells or min(MAX_CELLS, max(known.kinds, known.rows // CHUNK))
+    cuts = max(1, int((limit / known.kinds) ** (1 / size) + 1e-9))
+    shares = [i / cuts for i in range(1, cuts)]
+    edges = rows.agg(*[F.percentile_approx(F.col("v")[i], shares, 1000).alias(f"e{i}") for i in range(size)]).first() if shares else None
+
+    def bin_of(i: int) -> Column:
+        x = F.col("v")[i]
+        return F.coalesce(sum(((x > e).cast("int") for e in sorted(set(edges[i] or []))), F.lit(0)), F.lit(-1)) if edges else F.lit(0)
+
+    # With more kinds of vectors than cells, several kinds share a cell, and its box bounds nothing.
+    place = F.xxhash64("have", *[bin_of(i) for i in range(size)]) if known.kinds <= limit else F.pmod(F.xxhash64("have"), F.lit(limit))
+    placed = rows.filter(F.col("have").contains("1")).withColumn("cell", place)
+    stats = placed.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.count("*").alias("rows"), F.min("have").alias("least"), F.max("have").alias("most"),
+        *[f(F.col("v")[i]).alias(f"{name}{i}") for i in range(size) for name, f in (("lo", F.min), ("hi", F.max))],
+    ).collect()
+    cell = np.array([r["cell"] for r in stats])
+    count = np.array([r["n"] for r in stats])
+    parts = np.array([math.ceil(r["rows"] / part) for r in stats])
+    fixed = np.array([r["least"] == r["most"] for r in stats])
+    owned = np.array([[r[f"lo{i}"] is not None for i in range(size)] for r in stats])
+    low, high = (np.array([[r[f"{b}{i}"] if r[f"{b}{i}"] is not None else 0.0 for i in range(size)] for r in stats]) for b in ("lo", "hi"))
+
+    def visit(frames):
+        for f in frames:
+            vectors, ids = _matrix(f["v"]), f["id"].to_numpy()
+            for start in range(0, len(f), CHUNK):
+                x = vectors[start : start + CHUNK]
+                mine = ~np.isnan(x)
+                near, far = np.zeros((2, len(x), len(cell)))
+                common = (mine[:, None, :] & owned[None]).sum(2)
+                for j in range(size):
+                    both = mine[:, j, None] & owned[None, :, j]
+                    below, above = low[None, :, j] - x[:, j, None], x[:, j, None] - high[None, :, j]
+                    near += np.where(both, np.maximum(np.maximum(below, above), 0.0) ** 2, 0.0)
+                    far += np.where(both, np.maximum(np.abs(below), np.abs(above)) ** 2, 0.0)
+                scale = size / np.maximum(common, 1)
+                near = np.where(common > 0, np.where(fixed, near * scale, 0.0), np.inf)
+                far = np.where((common > 0) & fixed, far * scale, np.inf)
+                for target in range(size):
+                    at = np.flatnonzero(~mine[:, target] & mine.any(1))
+                    there = np.flatnonzero(owned[:, target])
+                    if not len(at) or not len(there):
+                        continue
+                    worst = far[np.ix_(at, there)]
+                    order = np.argsort(worst, axis=1)
+                    enough = np.cumsum(count[there][order], axis=1) >= k
+                    bound = np.where(enough, np.take_along_axis(worst, order, 1), np.inf).min(1)
+                    q, c = np.nonzero(near[np.ix_(at, there)] <= bound[:, None] * (1 + 1e-9) + 1e-12)
+                    q, c = at[q], there[c]
+                    finite = np.isfinite(near[q, c])
+                    q, c = q[finite], c[finite]
+                    q, piece, c = np.repeat(q, parts[c]), np.concatenate([np.arange(p) for p in parts[c]] or [np.zeros(0, int)]), np.repeat(c, parts[c])
+                    yield pd.DataFrame({"id": ids[start + q], "target": np.full(len(q), target, "int32"), "x": list(x[q]), "cell": cell[c], "part": piece.astype("int32")})
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        donors, n = (_matrix(right["v"]), right["n"].to_numpy()) if len(right) else (np.zeros((0, size)), np.zeros(0))
+        for target, wanted in left.groupby("target"):
+            use = np.flatnonzero(~np.isnan(donors[:, target]))
+            if not len(use):
+                continue
+            use = use[np.argsort(donors[use, target], kind="stable")]
+            y, asked = donors[use], _matrix(wanted["x"])
+            for start in range(0, len(asked), CHUNK):
+                x, dist, common = asked[start : start + CHUNK], 0.0, 0
+                for j in range(size):
+                    both = ~np.isnan(x[:, j, None]) & ~np.isnan(y[None, :, j])
+                    dist = dist + np.where(both, (x[:, j, None] - y[None, :, j]) ** 2, 0.0)
+                    common = common + both
+                dist = np.where(common > 0, dist * (size / np.maximum(common, 1)), np.inf)
+                ids = wanted["id"].to_numpy()[start : start + CHUNK]
+                q, item, copies, near = _selected(ids, dist, y[:, target], n[use], k, min(k, len(use)))
+                found.append(pd.DataFrame({"id": q, "target": np.full(len(q), target, "int32"), "item": item, "n": copies, "dist2": near}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "target": [], "item": [], "n": [], "dist2": []})
+
+    incomplete = rows.filter(F.col("have").contains("0") & F.col("have").contains("1")).select("id", "v")
+    visits = incomplete.repartition("id").mapInPandas(visit, "id bigint, target int, x array<double>, cell bigint, part int")
+    copies = math.ceil(known.asked / VISIT_ROWS)
+    visits = visits.withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    homes = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    homes = homes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    by = ["cell", "part", "copy"]
+    found = visits.groupBy(*by).cogroup(homes.select("v", "n", *by).groupBy(*by)).applyInPandas(search, out)
+    nearest = Window.partitionBy("id", "target").orderBy("dist2", "item")
+    before = F.sum("n").over(nearest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return found.withColumn("before", before).filter(F.col("before") < k)
+
+
 def unit_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``item, vec, n``: the vectors as unit-length doubles; a zero vector stays zero."""
     vec = F.transform(as_column(vector), lambda x: x.cast("double"))

@@ -63,14 +63,15 @@ def test_spatial_correlation_brute_force(spark):
     assert spatial_correlation(df, ["x"]).first()[1] == pytest.approx(1 - np.mean(near) / np.std(values))
 
 
+@pytest.mark.parametrize("sizes", [{"cell_donors": 0, "cell_rows": 30}, {"block_rows": 64}])
 @pytest.mark.parametrize("mode", [vectors.ANY, vectors.OTHER, vectors.LATER])
-def test_nearest_rows_by_cells(spark, mode):
+def test_nearest_rows_by_cells_and_blocks(spark, mode, sizes):
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(c, 0.5, (100, 3)) for c in (0, 5, 20)] + [np.ones((150, 3))])
     donors = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)], "item bigint, vec array<double>, n bigint")
     queries = donors.select(F.col("item").alias("q"), "vec")
     got = {}
-    for r in vectors.nearest_rows(queries, donors, 4, mode, cell_donors=0, cell_rows=30).collect():
+    for r in vectors.nearest_rows(queries, donors, 4, mode, **sizes).collect():
         got.setdefault(r["q"], set()).add(r["item"])
     for q, p in enumerate(points):
         d = ((points - p) ** 2).sum(1)
@@ -79,7 +80,7 @@ def test_nearest_rows_by_cells(spark, mode):
         assert got.get(q, set()) == want
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_donors": 0, "cell_rows": 20}, {"block_rows": 16}])
+@pytest.mark.parametrize("sizes", [{}, {"max_cells": 40, "part_rows": 7}, {"max_cells": 3}])
 def test_knn_brute_force(spark, sizes):
     rng = np.random.default_rng(5)
     data = rng.normal(0, 3, (120, 3))
@@ -276,3 +277,34 @@ def test_tfidf_pairs_equal_all_pairs_at_several_thresholds(spark):
     for threshold in (0.5, 0.9):
         got = {(r.id_1, r.id_2): r.similarity for r in strings.tfidf_match(df, "id", "text", threshold).collect()}
         assert got.keys() == {p for p, s in cosine.items() if s >= threshold} and all(s == pytest.approx(cosine[p]) for p, s in got.items())
+
+
+def test_knn_of_many_patterns_is_one_search(spark):
+    """Six columns with holes: over fifty combinations of missing columns, and no more jobs than for two."""
+    rng = np.random.default_rng(6)
+    data = np.round(rng.normal(0, 3, (150, 6)), 2)
+    data[rng.random(data.shape) < 0.45] = np.nan
+    names = list("abcdef")
+    schema = "id int, " + ", ".join(f"{c} double" for c in names)
+    df = spark.createDataFrame([(i, *[None if math.isnan(v) else float(v) for v in r]) for i, r in enumerate(data)], schema)
+
+    def jobs(columns):
+        group = f"knn-{len(columns)}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["id"]: r for r in impute_knn(df, columns).collect()}
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    _, few = jobs(names[:2])
+    got, many = jobs(names)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert many <= few + 3
+    for i, r in enumerate(data):
+        for c in np.flatnonzero(np.isnan(r)):
+            found = []
+            for other in data:
+                both = ~np.isnan(r) & ~np.isnan(other)
+                if not math.isnan(other[c]) and both.any():
+                    found.append((((r - other)[both] ** 2).sum() * (6 / both.sum()), other[c]))
+            found.sort()
+            want = np.mean([v for _, v in found[:5]]) if found else np.nanmean(data[:, c])
+            assert got[i][names[c]] == pytest.approx(want)
