@@ -300,11 +300,11 @@ def generate_prompt_validation(t: Tables):
 
 @query(
     COSINES.format(on="a.vec_id < b.vec_id")
-    + """, m AS (SELECT DISTINCT vec_id FROM (SELECT i AS vec_id FROM k WHERE r <= 3 AND s > 0.3 UNION ALL SELECT j FROM k WHERE r <= 3 AND s > 0.3)
+    + """, m AS (SELECT DISTINCT vec_id FROM (SELECT i AS vec_id FROM k WHERE r <= 3 AND s > 0 UNION ALL SELECT j FROM k WHERE r <= 3 AND s > 0)
       ORDER BY vec_id LIMIT 20) SELECT vec_id, label FROM u WHERE vec_id IN (SELECT vec_id FROM m)"""
 )
 def distinct_members(t: Tables):
-    pairs = vectors.similar_pairs(t.embeddings, "vec_id", "embedding", 3).filter("similarity > 0.3")
+    pairs = vectors.similar_pairs(t.embeddings, "vec_id", "embedding", 3)
     return examples.distinct_members(pairs, t.embeddings.select("vec_id", "label"), "vec_id", 20)
 
 
