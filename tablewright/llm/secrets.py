@@ -7,7 +7,7 @@ link, and the words before it. It is trained on labelled findings; without given
 of (:func:`sure_label`): known key formats and assignments to a secret's name, against addresses, links, paths and plain words.
 
 At most ``TRAIN_FINDINGS`` labelled findings train the forest; the corpus words are counted over all documents, and every finding
-is judged. The same candidate twice in a document is one finding.
+is judged. The same candidate twice in a document is one finding, and so are those of rows that repeat its id and text.
 
 Null and empty texts have no findings; documents are told apart by id and text; when all labels agree, every finding has that label;
 an empty table has no findings.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import write_table
 
@@ -28,18 +28,20 @@ TREES, DEPTH = 30, 6
 COMMON, COMMON_SHARE = 3, 1e-5  # different texts, and share of them, from which a word counts as one of the corpus
 LONGEST_WORD = 40  # letters; longer runs are no words of a dictionary
 MARK = "[SECRET]"
+LEFT = 48  # characters of the text before a candidate
+STRIDE = 256  # matches whose lengths are summed at once
 _KEY = r"[A-Za-z0-9+/_=.@:~-]"
 _BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 # Letters in lower case or capitalised with white space or punctuation on both sides; what touches a digit or key character is no word.
 _TOUCH = r"[\p{L}\p{N}+/_=@~:.-]"
-WORD = rf"(?<!{_TOUCH})[A-Za-z][a-z]{{2,{LONGEST_WORD - 1}}}(?=[.:]*+(?!{_TOUCH}))"
+WORD = rf"(?<!{_TOUCH})[A-Za-z][a-z]{{2,{LONGEST_WORD - 1}}}+(?=[.:]*+(?!{_TOUCH}))"
 CANDIDATE = rf"{_BLOCK}|(?<!{_KEY}){_KEY}{{{MIN_RUN},}}+"
 SECRET_NAME = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?key)"
 _NAME = r"^(?:[A-Za-z_.-]{2,40}[=:]+|[A-Za-z_][A-Za-z0-9_.-]{1,39}=+)"
 #: A secret's name, an assignment, and a value of MIN_NAMED characters, in quotes (group 2) or not (group 3).
 MIN_NAMED = 8
 _SIMPLE = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?key)"
-NAMED = rf"(?i){_SIMPLE}[\w-]{{0,16}}[\"']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}(?:([\"'])([^\"'\s]{{{MIN_NAMED},}}+)\1|((?:{_KEY}|[!#$%^&*]){{{MIN_NAMED},}}+))"
+NAMED = rf"(?i)(?=[pstabc]){_SIMPLE}[\w-]{{0,16}}[\"']?\s{{0,3}}[=:]{{1,2}}\s{{0,3}}(?:([\"'])([^\"'\s]{{{MIN_NAMED},}}+)\1|((?:{_KEY}|[!#$%^&*]){{{MIN_NAMED},}}+))"
 #: Formats that issuers publish.
 KNOWN_FORMATS = (
     r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}|^github_pat_|^xox[abprs]-|^sk_live_|^sk-[0-9A-Za-z]{20}"
@@ -55,6 +57,7 @@ FEATURES = [
     "length", "digits", "uppers", "marks", "transitions", "variety", "hex", "coverage", "longest_word",
     "path", "named", "assigned", "quoted", "neighbour_length", "neighbour_capital",
 ]
+PLACE = ["doc_id", "text_key", "run", "value"]  # what tells findings apart
 
 
 def _share(value: Column, keep: str) -> Column:
@@ -68,31 +71,74 @@ def _plain(run: Column) -> Column:
 
 
 def _found(run: Column) -> Column:
-    """The run with the values in it: each published key where the whole is none, else what is left of the run."""
+    """The values in a run: each published key where the whole is none, else what is left of the run."""
     keys = F.array_distinct(F.regexp_extract_all(run, F.lit(KNOWN_INSIDE), F.lit(0)))
-    values = F.when(~_plain(run).rlike(KNOWN_FORMATS) & (F.size(keys) > 0), keys).otherwise(F.array(_plain(run)))
-    return F.transform(values, lambda value: F.struct(run.alias("run"), value.alias("value")))
+    return F.when(~_plain(run).rlike(KNOWN_FORMATS) & (F.size(keys) > 0), keys).otherwise(F.array(_plain(run)))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _places(text: str, pattern: str) -> Column:
+    """All matches of a pattern with the place of each, from 1, and the text before it: structs match, at, left.
+
+    The matches and the texts between them are found in two passes. Places are sums of their lengths: of whole
+    strides before a match's own stride, and of the matches in it.
+    """
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches"))
+
+    def total(numbers: Column, start, count) -> Column:
+        return F.aggregate(F.slice(numbers, start, count), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def strides(lengths: Column) -> Column:
+        whole = F.transform(F.sequence(F.lit(0), F.size(lengths) - 1, F.lit(STRIDE)), lambda i: total(lengths, i + 1, F.lit(STRIDE)))
+        return _let(whole, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: total(w, F.lit(1), i)))
+
+    def each(p: Column, lengths: Column, before: Column, i: Column) -> Column:
+        stride = F.floor(i / STRIDE).cast("int")
+        at = before[stride] + total(lengths, stride * STRIDE + 1, i - stride * STRIDE) + F.length(p.gaps[i]) + 1
+        # A match and its gap are 12 characters or more, so four of them fill the text to the left.
+        near = [x for k in range(4, 0, -1) for x in (F.get(p.gaps, i - k), F.get(p.matches, i - k))] + [p.gaps[i]]
+        left = F.concat(*(F.right(F.coalesce(x, F.lit("")), F.lit(LEFT)) for x in near))
+        return F.struct(p.matches[i].alias("match"), at.alias("at"), F.right(left, F.lit(LEFT)).alias("left"))
+
+    def placed(p: Column) -> Column:
+        lengths = F.zip_with(F.slice(p.gaps, F.lit(1), F.size(p.matches)), p.matches, lambda g, m: F.length(g) + F.length(m))
+        rows = _let(lengths, lambda n: _let(strides(n), lambda w: F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: each(p, n, w, i))))
+        return F.when(F.size(p.matches) > 0, rows)
+
+    return _let(parts, placed)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row a document and different candidate, with the value inside it, its place and the text around its first place."""
+    """One row a document (id and text) and different candidate, with the value inside it, its first place and the text before that."""
     shape = "[0-9=]|^[A-Z]{16,}[.:]*$|[a-z][A-Z]|[A-Z]{2}[a-z]"
-    long_runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike(shape) | x.rlike(KNOWN_INSIDE)))
-    behind = F.array_union(*(F.regexp_extract_all("text", F.lit(NAMED), F.lit(i)) for i in (2, 3)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"), long_runs.alias("long_runs"), behind.alias("behind"))
-    first = rows.withColumn("found", F.flatten(F.transform("long_runs", _found)))
+    long_run = F.exists(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), lambda x: x.rlike(shape) | x.rlike(KNOWN_INSIDE))
+    # Only texts with a candidate are cut.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(long_run | F.col("text").rlike(NAMED))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), _places("text", CANDIDATE).alias("runs"), _places("text", NAMED).alias("behind"))
+    both = F.concat(
+        F.transform(F.coalesce("runs", F.array()), lambda x: F.struct(F.lit(0).alias("kind"), x.match.alias("match"), x.at.alias("at"), x.left.alias("left"))),
+        F.transform(F.coalesce("behind", F.array()), lambda x: F.struct(F.lit(1).alias("kind"), x.match.alias("match"), x.at.alias("at"), x.left.alias("left"))),
+    )
+    each = rows.select("doc_id", "text_key", F.explode(both).alias("x")).select("doc_id", "text_key", "x.*")
+    each = each.where((F.col("kind") == 1) | F.col("match").rlike(shape) | F.col("match").rlike(KNOWN_INSIDE))
+    # Behind a name, the run is what is assigned, in quotes or not; the name belongs to the text before it.
+    quoted, plain = (F.regexp_extract("match", NAMED, i) for i in (2, 3))
+    run = F.when(F.col("kind") == 0, F.col("match")).otherwise(F.when(quoted != "", quoted).otherwise(plain))
+    closing = F.when((F.col("kind") == 1) & (quoted != ""), 1).otherwise(0)
+    each = each.withColumn("run", run).withColumn("lead", F.length("match") - F.length("run") - closing)
+    left = F.when(F.col("kind") == 0, F.col("left")).otherwise(F.right(F.concat("left", F.expr("left(match, lead)")), F.lit(LEFT)))
+    each = each.select("doc_id", "text_key", "kind", "run", (F.col("at") + F.col("lead")).alias("position"), left.alias("left_text"))
+    each = each.select("*", F.explode(_found(F.col("run"))).alias("value")).where(F.length("value") >= MIN_NAMED)
+    first = F.min(F.struct("kind", "position", "left_text")).alias("first")
+    found = each.groupBy("doc_id", "text_key", "run", "value").agg(first).select("doc_id", "text_key", "run", "value", "first.*")
     # What is a candidate by its shape is one already.
-    more = F.filter(F.flatten(F.transform(F.filter("behind", lambda x: x != ""), _found)), lambda x: ~F.exists("found", lambda y: y.value == x.value))
-    runs = first.select("doc_id", "text_key", "text", F.explode(F.array_distinct(F.concat("found", more))).alias("each"))
-    placed = runs.select("doc_id", "text_key", "text", "each.*").withColumn("at", F.expr("locate(run, text)"))
-    return placed.select(
-        "doc_id",
-        "text_key",
-        "run",
-        "value",
-        F.col("at").cast("long").alias("position"),
-        F.expr("substring(text, greatest(1, at - 48), least(48, at - 1))").alias("left_text"),
-    ).where(F.length("value") >= MIN_NAMED)
+    shaped = F.min("kind").over(Window.partitionBy("doc_id", "text_key", "value"))
+    return found.withColumn("shaped", shaped).where(F.col("kind") == F.col("shaped")).drop("kind", "shaped")
 
 
 def described(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -162,13 +208,13 @@ def sure_label() -> Column:
 
 def judge(found: DataFrame, labelled: DataFrame) -> DataFrame:
     """Findings with the forest's score; ``labelled``: described findings with a label of 0 or 1."""
-    known = labelled.where(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"))
-    draw = F.pmod(F.xxhash64(*FEATURES, F.monotonically_increasing_id()), F.lit(1 << 20))
+    known = labelled.where(F.col("label").isin(0, 1)).select(*FEATURES, *PLACE, F.col("label").cast("double").alias("label"))
+    draw = F.pmod(F.xxhash64(*FEATURES, *PLACE), F.lit(1 << 20))
     counts = {int(r.label): r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         return found.withColumn("score", F.lit(float(next(iter(counts), 0))))
     limits = [F.lit(min(1.0, TRAIN_FINDINGS / 2 / counts[k]) * (1 << 20)) for k in (0, 1)]
-    chosen = known.where(draw < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0]))
+    chosen = known.where(draw < F.when(F.col("label") == 1, limits[1]).otherwise(limits[0])).select(*FEATURES, "label")
     chosen = write_table(chosen.orderBy("label", *FEATURES).coalesce(1), "labelled")  # bounded; one order, so one forest
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=5).fit(assemble.transform(chosen).coalesce(1))

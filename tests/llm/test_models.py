@@ -1,5 +1,6 @@
 """Trained operators by held-out accuracy, matching operators by brute force, and the pipeline."""
 
+import collections
 import random
 
 import numpy as np
@@ -189,6 +190,27 @@ def test_short_and_letters_only_secrets_behind_names_and_keys_inside_runs(spark)
     assert {(r.doc_id, r.value) for r in found} == set(planted.items())
 
 
+def test_places_of_candidates(spark):
+    """Places and texts to the left agree with the text itself, over many strides, non-ASCII letters, quotes and repeats."""
+    rng = random.Random(12)
+    many = " ".join(f"é w{rng.getrandbits(64):016x}," for _ in range(3 * secrets.STRIDE + 5))
+    named = "ß password: 'hunter2x9' and pwd=abcd!efgh, again 'hunter2x9' token = \"kJqWeRtYuIoPzXcV\""
+    rows = [(1, many), (1, many), (2, named), (None, named), (3, f"{named} {many} {named}"), (4, "plain words only"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.candidates(docs).collect()
+    texts = {i: t for i, t in rows}
+    for r in found:
+        text = texts[r.doc_id]
+        assert text[r.position - 1 :].startswith(r.run) and r.value in r.run
+        assert r.left_text == text[max(0, r.position - 1 - secrets.LEFT) : r.position - 1]
+    count = collections.Counter(r.doc_id for r in found)
+    assert count == {1: 3 * secrets.STRIDE + 5, 2: 3, None: 3, 3: 3 * secrets.STRIDE + 8}
+    assert len({(r.doc_id, r.run, r.value) for r in found}) == len(found)
+    assert {r.value: r.position for r in found if r.doc_id == 2} == {
+        "hunter2x9": named.index("hunter2x9") + 1, "abcd!efgh": named.index("abcd!efgh") + 1, "kJqWeRtYuIoPzXcV": named.index("kJqWeRt") + 1
+    }
+
+
 def test_secrets_of_odd_and_empty_tables(odd, empty):
     assert secrets.find_secrets(empty).count() == 0
     kept = secrets.without_secrets(odd)
