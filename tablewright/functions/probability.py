@@ -25,6 +25,12 @@ def normal_cdf(x: Column) -> Column:
     return erfc(-x / F.lit(2.0**0.5)) / 2
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation of the rows where both are present; null where one of them is constant."""
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def skew_z(n: Column, skewness: Column) -> Column:
     """D'Agostino's transformed skewness."""
     y = skewness * F.sqrt((n + 1) * (n + 3) / (F.lit(6.0) * (n - 2)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_column, long_rows, number, numeric_columns, validate_columns
 from ..functions.hashing import SEED, row_hash
-from ..functions.probability import gamma_p, normal_cdf, normality_p
+from ..functions.probability import correlation, gamma_p, normal_cdf, normality_p
 from .ordering import bucketed, sorted_counts, with_halo
 from .quantiles import exact_quantiles
 
@@ -377,25 +377,34 @@ def spatial_correlation(
 
 
 def autocorr_lag1(
-    df: DataFrame, order_col: str, columns: list[str] | None = None, bucket_rows: int | None = None
+    df: DataFrame, order_col: str, columns: list[str] | None = None, bucket_rows: int | None = None, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """Absolute correlation of each column with itself one non-null row earlier; undefined gives 0."""
+    """Absolute correlation of each column with itself one non-null row earlier; undefined gives 0.
+
+    All columns share one pass over ranges of the order: each range starts with the last value of every column in the
+    ranges before it. ``ties`` decide among rows of equal order; rows without an order come first.
+    """
     names = validate_columns(df, columns or [c for c in numeric_columns(df) if c != order_col])
-    validate_columns(df, [order_col])
-    parts = None
-    order = as_column(order_col)
-    for c in names:
-        rows = df.select(order.alias("_order"), number(df, c).alias("_x")).filter(F.col("_x").isNotNull())
-        rows = bucketed(rows, {"order": F.col("_order")}, bucket_rows).withColumnRenamed("_b_order", "_bucket")
-        rows = with_halo(rows, [], "_order", 1, 0)
-        before = F.lag("_x").over(Window.partitionBy("_bucket").orderBy("_order"))
-        pairs = rows.withColumn("_before", before).filter(~F.col("_halo"))
-        corr = F.abs(F.corr("_x", "_before"))
-        part = pairs.agg(corr.alias("r")).select(
-            F.lit(c).alias("column"), F.when(F.isnan("r"), 0.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("autocorrelation")
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    validate_columns(df, [order_col, *ties])
+    xs = [f"_x{i}" for i in range(len(names))]
+    rows = df.select(
+        as_column(order_col).alias("_order"),
+        *[as_column(c).alias(f"_t{i}") for i, c in enumerate(ties)],
+        *[number(df, c).alias(x) for c, x in zip(names, xs)],
+    )
+    rows = bucketed(rows, {"order": F.col("_order")}, bucket_rows)
+    rows = rows.withColumn("_bucket", F.when(F.col("_order").isNull(), -1).otherwise(F.col("_b_order"))).drop("_b_order")
+    place = F.struct("_order", *[f"_t{i}" for i in range(len(ties))])
+    ends = rows.groupBy("_bucket").agg(*[F.max_by(x, F.when(F.col(x).isNotNull(), place)).alias(x) for x in xs])
+    # One row a range, as many as there are ranges of the order.
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select("_bucket", *[F.last(x, ignorenulls=True).over(earlier).alias(x) for x in xs], F.lit(True).alias("_head"))
+    line = Window.partitionBy("_bucket").orderBy(F.desc("_head"), place).rowsBetween(Window.unboundedPreceding, -1)
+    both = rows.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    pairs = both.select("_head", *xs, *[F.last(x, ignorenulls=True).over(line).alias(f"{x}_before") for x in xs]).filter(~F.col("_head"))
+    corrs = [F.abs(correlation(F.col(x), F.col(f"{x}_before"))).alias(x) for x in xs]
+    records = [{"column": F.lit(c), "autocorrelation": F.coalesce(x, F.lit(0.0))} for c, x in zip(names, xs)]
+    return long_rows(pairs.agg(*corrs), records)
 
 
 def cluster_tendency(df: DataFrame, columns: list[str] | None = None, k: int = 3, seed: int = SEED) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -18,6 +19,7 @@ from ..functions.columns import (
     validate_columns,
 )
 from ..functions.numbers import FORMATS, classify_numeric_format, dominant_format, parse_number
+from ..functions.probability import correlation
 from .quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -246,33 +248,41 @@ def histogram(df: DataFrame, column: str, bins: int = 20, density: bool = False)
     return out.withColumn("density", F.col("count") / F.lit(row[2] * width)) if density else out
 
 
-def kde(df: DataFrame, column: str, points: int = 200, bins: int = 1000) -> DataFrame:
+KDE_TERMS, KDE_REACH = 17, 9
+
+
+def kde(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on a grid three bandwidths beyond the data.
 
-    The data is first counted in ``bins`` equal-width bins, each represented by its mean, so the work
-    after one pass is ``bins * points`` whatever the table's size.
+    Rows are summed in bins one bandwidth wide. With t the distance of a row from the centre of its bin and z that of a
+    grid point, both in bandwidths, exp(-(z - t)^2 / 2) is exp(-z^2 / 2) times the sum over k of z^k / k! * t^k exp(-t^2 / 2),
+    so a bin needs ``KDE_TERMS`` sums whatever its rows. As |t| is at most 1/2, the terms left out are below 2e-13 of the peak
+    of a row's kernel, and a row more than ``KDE_REACH`` bandwidths from a point gives it less than 1e-17 of that peak. The
+    density is exact to 3e-13 times the peak of a single kernel, 1 / (bandwidth * sqrt(2 pi)).
     """
     col = number(df, column)
     n, std, low, high = df.agg(F.count(col), F.stddev_samp(col), F.min(col), F.max(col)).first()
     if not n or not std:
         return df.sparkSession.createDataFrame([], "x double, density double")
     width = n ** (-0.2) * std
-    index = F.least(F.lit(bins - 1), F.floor((col - low) / ((high - low) / bins)))
-    binned = (
-        df.select(index.alias("bin"), col.alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy("bin")
-        .agg(F.count("*").alias("w"), F.avg("v").alias("m"))
-    )
     start, step = low - 3 * width, (high - low + 6 * width) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(start) + i * step)
-    z = (F.col("x") - F.col("m")) / width
-    kernel = F.col("w") * F.exp(-z * z / 2)
-    return (
-        binned.select("w", "m", F.explode(grid).alias("x"))
-        .groupBy("x")
-        .agg((F.sum(kernel) / F.lit(n * width * (2 * 3.141592653589793) ** 0.5)).alias("density"))
-    )
+    values = df.select(col.alias("v")).filter(F.col("v").isNotNull()).withColumn("bin", F.floor((F.col("v") - low) / width))
+    values = values.withColumn("t", (F.col("v") - low) / width - F.col("bin") - 0.5)
+    terms = [F.sum(F.exp(-F.col("t") * F.col("t") / 2) * F.pow("t", F.lit(k))) / math.factorial(k) for k in range(KDE_TERMS)]
+    bins = values.groupBy("bin").agg(*[term.alias(f"w{k}") for k, term in enumerate(terms)])
+    # A bin meets the grid points within its reach only.
+    centre = F.lit(low) + (F.col("bin") + 0.5) * width
+    first = F.greatest(F.lit(0), F.ceil((centre - (KDE_REACH + 0.5) * width - start) / step))
+    last = F.least(F.lit(points - 1), F.floor((centre + (KDE_REACH + 0.5) * width - start) / step))
+    met = bins.withColumns({"centre": centre, "first": first, "last": last}).filter(F.col("first") <= F.col("last"))
+    met = met.withColumn("i", F.explode(F.sequence("first", "last"))).withColumn("z", (F.lit(start) + F.col("i") * step - F.col("centre")) / width)
+    series = F.col(f"w{KDE_TERMS - 1}")
+    for k in range(KDE_TERMS - 2, -1, -1):
+        series = series * F.col("z") + F.col(f"w{k}")
+    sums = met.groupBy("i").agg(F.sum(F.exp(-F.col("z") * F.col("z") / 2) * series).alias("sum"))
+    grid = df.sparkSession.range(points).select(F.col("id").alias("i"))
+    density = F.coalesce("sum", F.lit(0.0)) / (n * width * math.sqrt(2 * math.pi))
+    return grid.join(F.broadcast(sums), "i", "left").select((F.lit(start) + F.col("i") * step).alias("x"), density.alias("density"))
 
 
 def boxplot_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -313,11 +323,11 @@ def boxplot_comparison(before: DataFrame, after: DataFrame, columns: list[str])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair over the rows where both are present, in one pass."""
+    """Pearson correlation of every column pair over the rows where both are present, in one pass; null for a constant column."""
     names = validate_columns(df, columns or numeric_columns(df))
     cols = {c: number(df, c) for c in names}
     pairs = list(combinations(names, 2))
-    row = df.agg(*[F.corr(cols[a], cols[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], F.count("*").alias("n"))
+    row = df.agg(*[correlation(cols[a], cols[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], F.count("*").alias("n"))
     records = [{"column_1": F.lit(c), "column_2": F.lit(c), "correlation": F.lit(1.0)} for c in names]
     for i, (a, b) in enumerate(pairs):
         for x, y in ((a, b), (b, a)):

@@ -360,12 +360,11 @@ def histogram(t: Tables):
 
 
 @query(
-    """WITH s AS (SELECT count(*) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
+    """WITH s AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
     p AS (SELECT *, power(n, -0.2) * sd AS h FROM s),
-    b AS (SELECT count(*) AS w, avg(value) AS m FROM events, s GROUP BY least(999, floor((value - lo) / ((hi - lo) / 1000)))),
     g AS (SELECT lo - 3 * h + i * (hi - lo + 6 * h) / 199 AS x FROM p, range(200) AS r(i))
-    SELECT round(x, 4) AS x, round(sum(w * exp(-power((x - m) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 8) AS density
-    FROM g, b, p GROUP BY x"""
+    SELECT round(x, 4) AS x, round(sum(exp(-power((x - value) / h, 2) / 2)) / any_value(n * h * sqrt(2 * pi())), 8) AS density
+    FROM g, events, p WHERE value IS NOT NULL GROUP BY x"""
 )
 def kde(t: Tables):
     return rounded(profile.kde(t.events, "value"), 4, density=8)

@@ -11,6 +11,7 @@ from tablewright.operators import features, joins, ordering, strings, vectors
 from tablewright.operators.distribution import autocorr_lag1, ks_statistics, spatial_correlation
 from tablewright.operators.impute import fit_iterative, impute_knn
 from tablewright.operators.power import even_quantiles, fit_power
+from tablewright.operators.profile import correlation_matrix, kde
 from tablewright.operators.quantiles import exact_quantiles
 from tablewright.operators.sample import balance_oversample, balance_undersample, hash_head, shuffle_rows
 
@@ -308,3 +309,44 @@ def test_knn_of_many_patterns_is_one_search(spark):
             found.sort()
             want = np.mean([v for _, v in found[:5]]) if found else np.nanmean(data[:, c])
             assert got[i][names[c]] == pytest.approx(want)
+
+
+def test_kde_is_the_plain_sum(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=3000), rng.exponential(3, 1000) + 50, np.full(700, 2.5), [-400.0, 900.0]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    for points in (7, 200):
+        got = kde(df, "x", points).orderBy("x").collect()
+        h = len(values) ** -0.2 * values.std(ddof=1)
+        x = np.linspace(values.min() - 3 * h, values.max() + 3 * h, points)
+        want = np.exp(-(((x[:, None] - values) / h) ** 2) / 2).sum(axis=1) / (len(values) * h * np.sqrt(2 * np.pi))
+        assert np.allclose([r.x for r in got], x, rtol=1e-12)
+        assert np.abs([r.density for r in got] - want).max() < 3e-13 / (h * np.sqrt(2 * np.pi))
+    assert kde(df.limit(0), "x").count() == 0
+    assert kde(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").count() == 0
+
+
+def test_autocorrelation_of_many_columns_over_ranges(spark):
+    rng = np.random.default_rng(5)
+    n = 2000
+    order = [None] + [int(i) for i in rng.integers(0, 700, n - 1)]
+    a, b = np.cumsum(rng.normal(size=n)), rng.normal(size=n)
+    rows = [
+        (order[i], i, float(a[i]) if i % 3 else None, float(b[i]) if 600 < (order[i] or 0) < 610 else None, 4.0, None) for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "o long, i long, a double, b double, c double, d double")
+    lines = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {}
+    for k, name in enumerate("ab", 2):
+        line = np.array([r[k] for r in lines if r[k] is not None])
+        want[name] = abs(np.corrcoef(line[1:], line[:-1])[0, 1])
+    for size in (None, 100):
+        got = {r[0]: r[1] for r in autocorr_lag1(df, "o", ["a", "b", "c", "d"], size, ties=["i"]).collect()}
+        assert got == pytest.approx(want | {"c": 0.0, "d": 0.0}, abs=1e-9)
+
+
+def test_correlation_with_a_constant_column(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.5, 5.0), (4.0, 7.0, 5.0), (None, 3.0, 5.0)], "a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in correlation_matrix(df).collect()}
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4.5, 7])[0, 1])
+    assert got["a", "c"] is None and got["c", "b"] is None and got["c", "c"] == 1
