@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import is_numeric, numeric_columns, replace_columns, validate_choice, validate_columns
 from ..functions.probability import normality_p
+from .clusters import cluster_tendency
 from .distribution import (
     FAMILIES,
     autocorr_lag1,
-    cluster_tendency,
     identify_distribution,
     iqr_fences,
     moments,

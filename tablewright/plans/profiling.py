@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import distribution as dist, missing, profile
+from ..operators import clusters, distribution as dist, missing, profile
 from ..operators.impute import fit_simple
 from .inputs import HOLED_LINES, LINE_KEY, NUMBER_TEXTS, holed_lines, number_texts
 from .registry import Tables, query, rounded, union_sql
@@ -330,9 +330,33 @@ def category_pattern_strength(t: Tables):
     return rounded(profile.category_pattern_strength(t.customer, "c_mktsegment"))
 
 
-@query()
+def _clusters_sql(columns: list[str], source: str) -> str:
+    per = union_sql(f"SELECT '{{c}}' AS \"column\", {{c}} AS v, count(*) AS n FROM {source} WHERE {{c}} IS NOT NULL GROUP BY {{c}}", columns)
+    return f"""WITH r AS ({per}), c AS (SELECT "column", v - sum(v * n) OVER w / sum(n) OVER w AS x, n FROM r WINDOW w AS (PARTITION BY "column")),
+      p AS (SELECT *, sum(n) OVER u AS cn, sum(x * n) OVER u AS cs, sum(n) OVER w AS tn, sum(x * n) OVER w AS ts, sum(x * x * n) OVER w AS tq FROM c
+        WINDOW w AS (PARTITION BY "column"), u AS (PARTITION BY "column" ORDER BY x ROWS UNBOUNDED PRECEDING)),
+      e AS (SELECT a."column", a.x AS xa, b.x AS xb, a.tq,
+          a.cs * a.cs / a.cn + (b.cs - a.cs) * (b.cs - a.cs) / (b.cn - a.cn) + (b.ts - b.cs) * (b.ts - b.cs) / (b.tn - b.cn) AS parted
+        FROM p a JOIN p b ON a."column" = b."column" AND a.x < b.x AND b.cn < b.tn),
+      h AS (SELECT * FROM e QUALIFY parted >= max(parted) OVER (PARTITION BY "column") - 1e-9 * tq),
+      g AS (SELECT "column", xa, xb, row_number() OVER (PARTITION BY "column" ORDER BY xa, xb) AS k FROM h),
+      l AS (SELECT c.*, CASE WHEN x <= xa THEN 1 WHEN x <= xb THEN 2 ELSE 3 END AS cluster FROM c JOIN g ON c."column" = g."column" AND g.k = 1),
+      d AS (SELECT a."column", a.x, a.n, a.cluster = b.cluster AS own, b.cluster, sum(b.n) AS cn, sum(abs(a.x - b.x) * b.n) AS far
+        FROM l a JOIN l b ON a."column" = b."column" GROUP BY ALL),
+      s AS (SELECT "column", x, any_value(n) AS n, max(CASE WHEN own THEN cn END) AS own_n,
+        max(CASE WHEN own AND cn > 1 THEN far / (cn - 1) END) AS inside, min(CASE WHEN NOT own THEN far / cn END) AS other FROM d GROUP BY 1, 2)
+      SELECT "column", round(greatest(sum(CASE WHEN own_n > 1 AND greatest(inside, other) > 0 THEN n * (other - inside) / greatest(inside, other) ELSE 0 END)
+        / sum(n), 0), 6) AS cluster_tendency FROM s GROUP BY 1"""
+
+
+@query(_clusters_sql(["c_acctbal"], "customer"))
 def cluster_tendency(t: Tables):
-    return rounded(dist.cluster_tendency(t.customer, ["c_acctbal"]))
+    return rounded(clusters.cluster_tendency(t.customer, ["c_acctbal"]))
+
+
+@query(_clusters_sql(["p_size", "p_retailprice"], "part"))
+def cluster_tendency_part(t: Tables):
+    return rounded(clusters.cluster_tendency(t.part, ["p_size", "p_retailprice"]))
 
 
 @query("SELECT p_type AS value, count(*) AS count, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM part GROUP BY 1")
