@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -12,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import as_column, long_rows, number, numeric_columns, validate_columns
 from ..functions.hashing import SEED, row_hash
-from ..functions.probability import correlation, gamma_p, normal_cdf, normality_p
+from ..functions.probability import correlation, gamma_p, gamma_shape, normal_cdf, normality_p
 from .ordering import bucketed, sorted_counts, with_halo
 from .quantiles import exact_quantiles
 
 FAMILIES = ["normal", "uniform", "exponential", "lognormal", "gamma"]
+#: Where lognormal and gamma fits may start: shares of the range below the minimum.
+LOCATIONS = [0.00125 * 2**i for i in range(9)]
 NEIGHBOURS = 3
 TREES, TREE_ROWS, CONTAMINATION = 100, 256, 0.1
 
@@ -248,6 +251,69 @@ def has_outliers(
     return out.withColumn("has_outliers", verdict)
 
 
+class Fit(NamedTuple):
+    """A fitted family: where it starts or is centred, its scale, its shape if it has one, the mean log-likelihood of a row."""
+
+    location: float
+    scale: float
+    shape: float | None
+    likelihood: float
+
+
+def _likeliest(df: DataFrame, known: dict[str, dict]) -> dict[str, dict[str, Fit]]:
+    """Fits to each standardised column, from its moments and one pass of log moments at all ``LOCATIONS``."""
+    ends = {c: ((m["min"] - m["mean"]) / m["std"], (m["max"] - m["mean"]) / m["std"]) for c, m in known.items()}
+    starts = {c: [low - share * (high - low) for share in LOCATIONS] for c, (low, high) in ends.items()}
+
+    def log_of(c: str, start: float) -> Column:
+        return F.log((number(df, c) - known[c]["mean"]) / known[c]["std"] - start)
+
+    logs = df.agg(
+        *[
+            agg(log_of(c, start)).alias(f"{k}{i}_{j}")
+            for i, c in enumerate(known)
+            for j, start in enumerate(starts[c])
+            for k, agg in (("m", F.avg), ("s", F.stddev_pop))
+        ]
+    ).first()
+    fits = {}
+    for i, (c, (low, high)) in enumerate(ends.items()):
+        lognormal, gamma = [], []
+        for j, start in enumerate(starts[c]):
+            m, s = logs[f"m{i}_{j}"], logs[f"s{i}_{j}"]
+            lognormal.append(Fit(start, math.exp(m), s, -m - math.log(s) - math.log(2 * math.pi) / 2 - 0.5))
+            # The mean after standardising is 0, so the mean above the start is -start.
+            k = gamma_shape(math.log(-start) - m)
+            scale = -start / k
+            gamma.append(Fit(start, scale, k, (k - 1) * m - k - k * math.log(scale) - math.lgamma(k)))
+        fits[c] = {
+            "normal": Fit(0.0, 1.0, None, -math.log(2 * math.pi) / 2 - 0.5),
+            "uniform": Fit(low, high - low, None, -math.log(high - low)),
+            "exponential": Fit(low, -low, None, -math.log(-low) - 1),
+            "lognormal": max(lognormal, key=lambda f: f.likelihood),
+            "gamma": max(gamma, key=lambda f: f.likelihood),
+        }
+    return fits
+
+
+def fit_families(df: DataFrame, columns: list[str] | None = None, known: dict[str, dict] | None = None) -> DataFrame:
+    """``column, family, location, scale, shape, likelihood`` of the likeliest normal, uniform, exponential, lognormal and gamma.
+
+    Lognormal (``scale``: the median above ``location``) and gamma start at the likeliest of ``LOCATIONS`` below the minimum; nearer
+    to it the likelihood would grow without bound. ``likelihood`` is the mean logarithm per row. Columns of fewer
+    than two values or of a single one have no rows. All columns share two passes.
+    """
+    names = validate_columns(df, columns or numeric_columns(df))
+    known = {c: m for c, m in (known or moments(df, names)).items() if c in names and m["n"] >= 2 and m["std"]}
+    rows = []
+    for c, fits in (_likeliest(df, known) if known else {}).items():
+        mean, std = known[c]["mean"], known[c]["std"]
+        rows += [(c, k, mean + f.location * std, f.scale * std, f.shape, f.likelihood - math.log(std)) for k, f in fits.items()]
+    return df.sparkSession.createDataFrame(
+        rows, "column string, family string, location double, scale double, shape double, likelihood double"
+    )
+
+
 def ks_statistics(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -257,8 +323,7 @@ def ks_statistics(
 ) -> DataFrame:
     """Kolmogorov-Smirnov distance of each standardised column to five fitted families.
 
-    Normal, uniform and exponential are maximum-likelihood fits; lognormal and gamma use moments
-    around an origin one percent of the range below the minimum. ``known`` and ``ranked`` take
+    The families are those of :func:`fit_families`. ``known`` and ``ranked`` take
     :func:`moments` and ``sorted_counts`` of the same columns if they are at hand.
     """
     names = validate_columns(df, columns or numeric_columns(df))
@@ -267,24 +332,12 @@ def ks_statistics(
     names = [c for c in names if c in known]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"ks_{f} double" for f in FAMILIES))
-    origin = {}
-    for c, m in known.items():
-        low, high = (m["min"] - m["mean"]) / m["std"], (m["max"] - m["mean"]) / m["std"]
-        origin[c] = (low, high, low - 0.01 * (high - low))
-
-    def z(c: str) -> Column:
-        return (number(df, c) - known[c]["mean"]) / known[c]["std"]
-
-    logs = df.agg(
-        *[
-            agg(F.log(z(c) - origin[c][2])).alias(f"{k}{i}")
-            for i, c in enumerate(names)
-            for k, agg in (("m", F.avg), ("s", F.stddev_pop))
-        ]
-    ).first()
+    fits = _likeliest(df, known)
     params = {
-        c: (known[c]["mean"], known[c]["std"], *origin[c], logs[f"m{i}"], logs[f"s{i}"]) for i, c in enumerate(names)
-    }
+        c: (known[c]["mean"], known[c]["std"], f["uniform"].location, f["exponential"].scale, f["uniform"].scale,
+            f["lognormal"].location, math.log(f["lognormal"].scale), f["lognormal"].shape)
+        for c, f in fits.items()
+    }
 
     def param(k: int) -> Column:
         out = F.lit(None).cast("double")
@@ -296,19 +349,17 @@ def ks_statistics(
     def gamma_cdf(column: pd.Series, z: pd.Series) -> pd.Series:
         out = pd.Series(0.0, index=z.index)
         for c in column.unique():
-            # Mean 0 and variance 1 after standardising, so shape = origin^2 and scale = 1 / -origin.
-            at, loc = column == c, params[c][4]
-            out[at] = gamma_p(loc * loc, (z[at].to_numpy() - loc) * -loc)
+            at, f = column == c, fits[c]["gamma"]
+            out[at] = gamma_p(f.shape, (z[at].to_numpy() - f.location) / f.scale)
         return out
 
     ranked = ranked.filter(F.col("column").isin(names)).withColumn("z", (F.col("value") - param(0)) / param(1))
-    low, high, loc = param(2), param(3), param(4)
-    zc = F.col("z")
+    low, zc = param(2), F.col("z")
     cdf = {
         "normal": normal_cdf(zc),
-        "uniform": (zc - low) / (high - low),
-        "exponential": 1 - F.exp((zc - low) / low),
-        "lognormal": normal_cdf((F.log(zc - loc) - param(5)) / param(6)),
+        "uniform": (zc - low) / param(4),
+        "exponential": 1 - F.exp(-(zc - low) / param(3)),
+        "lognormal": normal_cdf((F.log(zc - param(5)) - param(6)) / param(7)),
         "gamma": gamma_cdf("column", "z"),
     }
     above = (F.col("below") + F.col("n")) / F.col("total")

@@ -274,6 +274,9 @@ _erfc = (
 )
 
 
+_SHARES = "(SELECT 0.00125 * power(2, i) AS share FROM range(9) AS r(i))"
+
+
 def _ks_sql(columns: list[str], source: str) -> str:
     per = union_sql(
         "SELECT '{c}' AS \"column\", {c} AS v, rank() OVER (ORDER BY {c}) - 1 AS below, count(*) OVER (PARTITION BY {c}) AS n, "
@@ -282,8 +285,10 @@ def _ks_sql(columns: list[str], source: str) -> str:
         columns,
     )
     return f"""r AS ({per}), b AS (SELECT *, min(z) OVER w AS lo, max(z) OVER w AS hi FROM r WINDOW w AS (PARTITION BY "column")),
-      g AS (SELECT *, ln(z - (lo - 0.01 * (hi - lo))) AS lz FROM b),
-      p AS (SELECT *, (lz - avg(lz) OVER w) / stddev_pop(lz) OVER w AS q FROM g WINDOW w AS (PARTITION BY "column")),
+      t AS (SELECT b."column", any_value(lo) - share * (any_value(hi) - any_value(lo)) AS loc, avg(ln(z - (lo - share * (hi - lo)))) AS lm,
+        stddev_pop(ln(z - (lo - share * (hi - lo)))) AS ls FROM b, {_SHARES} GROUP BY b."column", share),
+      o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY -lm - ln(ls) DESC) = 1),
+      p AS (SELECT b.*, (ln(z - loc) - lm) / ls AS q FROM b JOIN o ON b."column" = o."column"),
       f AS (SELECT "column", below / total AS under, (below + n) / total AS above,
         (z - lo) / (hi - lo) AS uniform, 1 - exp((z - lo) / lo) AS exponential, -z / sqrt(2.0) AS xn, -q / sqrt(2.0) AS xl FROM p),
       c AS (SELECT "column", under, above, uniform, exponential,
@@ -299,6 +304,37 @@ def ks_statistics(t: Tables):
     return rounded(dist.ks_statistics(t.events, ["value"]).drop("ks_gamma"), 5)
 
 
+def _newton(source: str, name: str) -> str:
+    """One step of the gamma shape ``k`` towards ln(k) - digamma(k) = gap."""
+    psi = "(ln(k+10) - 1/(2*(k+10)) - 1/(12*power(k+10,2)) + 1/(120*power(k+10,4)) - 1/(252*power(k+10,6))"
+    psi += "".join(f" - 1/(k+{i})" for i in range(10)) + ")"
+    slope = "(1/(k+10) + 1/(2*power(k+10,2)) + 1/(6*power(k+10,3)) - 1/(30*power(k+10,5)) + 1/(42*power(k+10,7))"
+    slope += "".join(f" + 1/power(k+{i},2)" for i in range(10)) + ")"
+    return f"{name} AS (SELECT * REPLACE (1 / (1/k + (ln(k) - {psi} - gap) / (k*k*(1/k - {slope}))) AS k) FROM {source})"
+
+
+@query(
+    f"""WITH v AS (SELECT value AS v FROM events WHERE value IS NOT NULL),
+    m AS (SELECT avg(v) AS mean, stddev_pop(v) AS std, min(v) AS lo, max(v) AS hi FROM v),
+    l AS (SELECT any_value(mean) AS mean, lo - share * (hi - lo) AS loc, avg(ln(v - (lo - share * (hi - lo)))) AS lm,
+      stddev_pop(ln(v - (lo - share * (hi - lo)))) AS ls FROM v, m, {_SHARES} GROUP BY lo, hi, share),
+    g AS (SELECT *, ln(mean - loc) - lm AS gap FROM l),
+    k0 AS (SELECT *, (3 - gap + sqrt((gap-3)*(gap-3) + 24*gap)) / (12*gap) AS k FROM g),
+    {", ".join(_newton(f"k{i}", f"k{i + 1}") for i in range(6))},
+    f AS (SELECT 'normal' AS family, mean AS location, std AS scale, NULL AS shape, -ln(2*pi()*std*std)/2 - 0.5 AS likelihood FROM m
+      UNION ALL SELECT 'uniform', lo, hi - lo, NULL, -ln(hi - lo) FROM m
+      UNION ALL SELECT 'exponential', lo, mean - lo, NULL, -ln(mean - lo) - 1 FROM m
+      UNION ALL SELECT 'lognormal', loc, exp(lm), ls, -lm - ln(ls) - ln(2*pi())/2 - 0.5 FROM k6
+      UNION ALL SELECT 'gamma', loc, (mean - loc) / k, k, (k-1)*lm - k - k*ln((mean - loc) / k) - lgamma(k) FROM k6),
+    b AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY family ORDER BY likelihood DESC) = 1)
+    SELECT 'value' AS "column", family, round(location, 4) AS location, round(scale, 4) AS scale, round(shape, 4) AS shape,
+      round(likelihood, 5) AS likelihood FROM b"""
+)
+def fit_families(t: Tables):
+    fits = dist.fit_families(t.events, ["value"])
+    return fits.withColumns({"likelihood": F.round("likelihood", 5)} | {c: F.round(c, 4) for c in ("location", "scale", "shape")})
+
+
 @query()
 def identify_distribution(t: Tables):
     return dist.identify_distribution(t.events, ["value", "event_type"])
