@@ -170,12 +170,12 @@ def _events(t: Tables):
 
 @query(
     f"""WITH h AS ({HOLED_EVENTS}) SELECT event_id, round(coalesce(value, {_median('value')}), 6) AS value,
-      coalesce(event_type, {_mode('event_type')}) AS event_type FROM h"""
+      round(coalesce(user_id, {_median('user_id')}), 6) AS user_id, coalesce(event_type, {_mode('event_type')}) AS event_type FROM h"""
 )
 def impute_smart(t: Tables):
-    # The skewed value column gets its median, text its mode.
-    done, _ = smart.impute_smart(_events(t), "event_id", ["event_id"], ["value", "event_type"])
-    return rounded(done.select("event_id", "value", "event_type"))
+    # Columns with outliers get their median, text its mode.
+    done, _ = smart.impute_smart(_events(t), "event_id", ["event_id"])
+    return rounded(done.select("event_id", "value", "user_id", "event_type"))
 
 
 def _scaled(t: Tables, method: str, digits: int = 6):
