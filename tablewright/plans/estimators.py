@@ -138,7 +138,8 @@ def impute_iterative(t: Tables):
 def impute_array(t: Tables):
     holed = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 6 != 0, x.cast("double")))
     done = impute.impute_array(t.embeddings.select("vec_id", holed.alias("embedding")), "embedding", 64, "mean")
-    return done.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    # A value that rounds to zero keeps its sign, as in IEEE arithmetic and SQL; F.round alone would drop it.
+    return done.select("vec_id", F.transform("embedding", lambda x: F.abs(F.round(x, 6)) * F.signum(x)).alias("embedding"))
 
 
 SIMPLE = {"outlier_methods": ("z", "iqr"), "families": ("normal", "uniform")}
