@@ -6,6 +6,7 @@ import re
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from .columns import as_column
@@ -123,27 +124,25 @@ def strip_special(value: str | Column, keep: str = r"\p{L}\p{N}\s.,:;%$€£¥/(
     return F.trim(F.regexp_replace(kept, r"\s+", " "))
 
 
-def general_format(value: Column, digits: int = 6) -> Column:
-    """C-style ``%g``: ``digits`` significant digits without trailing zeros.
+def general_format(value: str | Column, digits: int = 6) -> Column:
+    """C-style ``%g``: ``digits`` significant digits without trailing zeros, rounded from the binary value as C does."""
+    return _formatted(f"%.{digits}g")(F.array(as_column(value).cast("double")))
 
-    Rounds the shortest decimal form of the double half up, where C rounds its binary value.
-    """
-    magnitude = F.abs(value)
-    scientific = F.format_string(f"%.{digits - 1}e", value)
-    exponent = F.regexp_extract(scientific, r"e([-+]\d+)$", 1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(scientific, r"^([^e]+)e", 1), r"\.?0+$", "")
-    fixed = F.lit(None).cast("string")
-    for places in range(digits - 1, -1, -1):
-        fixed = F.when(exponent == digits - 1 - places, F.format_string(f"%.{places}f", value)).otherwise(fixed)
-    for lead in range(1, 5):
-        places = digits - 1 + lead
-        fixed = F.when(exponent == -lead, F.format_string(f"%.{places}f", value)).otherwise(fixed)
-    trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    return (
-        F.when(magnitude == 0, "0")
-        .when((exponent < -4) | (exponent >= digits), F.concat(mantissa, F.lit("e"), F.regexp_extract(scientific, r"e(.*)$", 1)))
-        .otherwise(trimmed)
-    )
+
+def _formatted(one: str, sep: str = "", nan: str | None = None, add_index: bool = False):
+    """A function of an array of doubles: each value by the C format ``one``, joined. Missing values as ``nan``, or no text at all."""
+
+    def line(values) -> str | None:
+        if values is None or nan is None and any(v is None for v in values):
+            return None
+        items = [nan if nan is not None and (v is None or v != v) else one % v for v in values]
+        return sep.join(f"{i}: {x}" for i, x in enumerate(items)) if add_index else sep.join(items)
+
+    def run(batch: pa.Array) -> pa.Array:
+        # Lists keep a missing value apart from NaN, which an array of numbers does not.
+        return pa.array([line(v) for v in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
 
 
 def _separator(sep: str) -> str:
@@ -152,13 +151,7 @@ def _separator(sep: str) -> str:
 
 def serialize_sequence(values: str | Column, sep: str = ".", nan: str = "nan", add_index: bool = False) -> Column:
     """A numeric array as text, six significant digits each, optionally with ``i: `` before a value."""
-
-    def one(x: Column, i: Column) -> Column:
-        missing = x.isNull() | F.isnan(x.cast("double"))
-        text = F.when(missing, F.lit(nan)).otherwise(general_format(x.cast("double")))
-        return F.concat(i.cast("string"), F.lit(": "), text) if add_index else text
-
-    return F.array_join(F.transform(as_column(values), one), _separator(sep))
+    return _formatted("%.6g", _separator(sep), nan, add_index)(as_column(values).cast("array<double>"))
 
 
 def serialize_row(columns: dict[str, str | Column], sep: str = ".", nan: str = "nan") -> Column:

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from tablewright.functions import text
 
 TIES = [0.1328125, -0.1171875, 0.0, -0.0, -1e-9, 1e-9, 5e-7, 1234565.0, 123456.5, 99999.95, 1e-42]
 
@@ -32,3 +33,11 @@ def test_zero_keeps_its_sign(spark, vectors):
     got, want = both(spark, vectors, "impute_array", "embedding")
     assert {k: str(v) for k, v in got.items()} == {k: str(v) for k, v in want.items()}
     assert any("-0.0" in str(v) for v in want.values())
+
+
+def test_numbers_as_c_writes_them(spark, vectors):
+    got, want = both(spark, vectors, "serialize_sequence", "sequence")
+    assert got == want
+    values = [0.1234575, 0.1234565, 2.5, 1234565.0, -0.0, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(text.general_format("v")).collect()] == [f"{v:.6g}" for v in values]
