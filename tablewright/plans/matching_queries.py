@@ -68,7 +68,7 @@ def self_match(t: Tables):
     f"""SELECT count(*) AS matches, 'o' AS match_columns, 6 AS n_columns FROM ({LINES}) a JOIN ({ORDERS}) b ON a.o IS NOT DISTINCT FROM b.o"""
 )
 def match_summary(t: Tables):
-    return matching.match_summary(matching.exact_match(lines(t), other_orders(t), ["o"]), ["o"])
+    return matching.exact_match_summary(lines(t), other_orders(t), ["o"])
 
 
 @query(
