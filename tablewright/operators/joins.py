@@ -26,19 +26,21 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
 ) -> DataFrame:
     """Join ``left`` to a table with one row per key.
 
     A lookup table proven small is broadcast. A larger one is joined by shuffle, except for the keys
     that hold more than 1/1000 of the left rows: there are fewer than 1000 of those, so their lookup
-    rows are broadcast and the hot left rows are never shuffled.
+    rows are broadcast and the hot left rows are never shuffled. Where ``left`` takes work to make, ``counted`` is a stored
+    table with its keys, in which they are counted.
     """
     small = bounded(right, max_rows)
     if small is not None:
         return left.join(small, on, how)
-    keys = left.groupBy(*on).agg(F.count("*").alias("_n"))
-    floor = max(1, left.count() // HOT_SHARE)
+    counted = left if counted is None else counted
+    keys = counted.groupBy(*on).agg(F.count("*").alias("_n"))
+    floor = max(1, counted.count() // HOT_SHARE)
     hot_keys = keys.filter(F.col("_n") > floor).select(*on).na.drop()
     if hot_keys.isEmpty():
         return left.join(right, on, how)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_column, common_columns, drop_rename, long_rows, validate_columns
 from ..functions.text import label_to_text, serialize_pair, serialize_row
+from ..session import write_table
 from .joins import dealt_join, lookup_join
 from .strings import fuzzy_match, ratio
 
@@ -170,8 +171,10 @@ def pair_join(
 ) -> DataFrame:
     """Labelled pairs ``(ltable_id, rtable_id, label)`` with both sides' columns, ``text`` and ``label_str``.
 
-    Every column of a side gets ``_A`` or ``_B``; the tables have one row per ``id``.
+    Every column of a side gets ``_A`` or ``_B``; the tables have one row per ``id``. The pairs are written once, as their keys are
+    counted before they are joined.
     """
+    pairs = write_table(pairs, "pairs")
     sides, texts = [], []
     for table, mark, ref in ((table_a, "A", "ltable_id"), (table_b, "B", "rtable_id")):
         table = drop_rename(table, drop or [], rename)
@@ -179,7 +182,7 @@ def pair_join(
         sides.append(table.select(F.col("id").alias(ref), *[as_column(c).alias(f"{c}_{mark}") for c in shown]))
         texts.append(serialize_row({c: f"{c}_{mark}" for c in shown}))
     joined = lookup_join(pairs, sides[0], ["ltable_id"], "inner")
-    joined = lookup_join(joined, sides[1], ["rtable_id"], "inner")
+    joined = lookup_join(joined, sides[1], ["rtable_id"], "inner", counted=pairs)
     return joined.withColumns(
         {"text": serialize_pair(texts[0], texts[1], noun, suffix, instruction), "label_str": label_to_text("label")}
     )

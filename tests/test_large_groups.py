@@ -19,3 +19,23 @@ def test_counted_matches_are_those_of_the_match(spark):
         want = matching.match_summary(matching.exact_match(left, right, columns), columns).first()
         assert matching.exact_match_summary(left, right, columns).first() == want
     assert matching.exact_match_summary(left, right.filter("z = 3"), ["k"]).first()["matches"] == 0
+
+
+def counted(spark, df):
+    """The table, and an accumulator of how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(run, df.schema), made
+
+
+def test_pairs_are_made_once_for_large_tables(spark):
+    pairs, made = counted(spark, spark.range(2000).select(F.col("id").alias("ltable_id"), (F.col("id") * 7 % 900).alias("rtable_id"), (F.col("id") % 2).cast("int").alias("label")))
+    tables = [spark.range(60_000).select("id", F.concat(F.lit(side), "id").alias("name")) for side in "ab"]
+    rows = matching.pair_join(pairs, *tables).collect()
+    assert len(rows) == 2000 and made.value == 2000
+    assert {(r["ltable_id"], r["name_A"], r["name_B"]) for r in rows} == {(i, f"a{i}", f"b{i * 7 % 900}") for i in range(2000)}
