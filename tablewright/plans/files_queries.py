@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.structure import ValueRules
-from ..session import new_path
+from ..session import new_path, write_table
 from ..sources import files, synthetic
 from .inputs import MESSY, messy_orders
 from .matching_queries import labelled_pairs, pair_tables
@@ -70,7 +70,8 @@ def pair_folder(t: Tables) -> str:
     a, b = pair_tables(t)
     files.sink_csv(a.drop("acctbal"), f"{folder}/tableA.csv")
     files.sink_csv(b.drop("acctbal"), f"{folder}/tableB.csv")
-    pairs = labelled_pairs(t).drop("n")
+    # The three splits read the pairs, so they are made once.
+    pairs = write_table(labelled_pairs(t).drop("n"), "labelled_pairs")
     part = F.col("ltable_id") % 10
     for split, test in (("train", part < 6), ("valid", part.isin(6, 7)), ("test", part > 7)):
         files.sink_csv(pairs.filter(test), f"{folder}/{split}.csv")

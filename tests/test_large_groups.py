@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tablewright.operators import matching
+from tablewright.operators import matching, sample
+from tablewright.plans import files_queries
+from tablewright.plans.registry import Tables
+from tablewright.session import new_path
+from tablewright.sources import files
 
 
 def test_matches_of_one_large_key_are_counted_without_making_them(spark):
@@ -39,3 +43,27 @@ def test_pairs_are_made_once_for_large_tables(spark):
     rows = matching.pair_join(pairs, *tables).collect()
     assert len(rows) == 2000 and made.value == 2000
     assert {(r["ltable_id"], r["name_A"], r["name_B"]) for r in rows} == {(i, f"a{i}", f"b{i * 7 % 900}") for i in range(2000)}
+
+
+def test_labelled_pairs_are_made_once_for_all_splits(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(files_queries, "labelled_pairs", lambda t, make=files_queries.labelled_pairs: found.append(counted(spark, make(t))) or found[-1][0])
+    files_queries.pair_folder(Tables(spark, "/root/testdata/sf0.001"))
+    assert found[0][1].value == found[0][0].count()
+
+
+def test_splits_are_drawn_as_from_the_joined_rows(spark):
+    """A pair without a record is no row, so it is not drawn either."""
+    folder = new_path(spark, "splits")
+    for side in "AB":
+        files.sink_csv(spark.range(1, 200).select("id", F.concat(F.lit(side), "id").alias("name")), f"{folder}/table{side}.csv")
+    pairs = spark.range(300).select(F.col("id").alias("ltable_id"), (F.col("id") * 7 % 250).alias("rtable_id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    files.sink_csv(pairs, f"{folder}/train.csv")
+    files.sink_csv(pairs.filter("ltable_id < 30"), f"{folder}/test.csv")
+    key = ["ltable_id", "rtable_id"]
+    rows = files.load_splits(spark, folder)
+    train = sample.balance_classes(rows.filter("split = 'train'"), "label", key)
+    want = sample.shuffle_rows(sample.sample_data(train, key, 20), key).unionByName(rows.filter("split = 'test'"), allowMissingColumns=True)
+    got = files.read_data(spark, folder, class_balanced=True, max_train_samples=20)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert files.read_data(spark, folder, shuffle=False).columns == rows.columns
