@@ -20,6 +20,8 @@ from .ordering import dense_index, in_range, range_bounds, with_halo
 METHODS = ["kbest", "mutual_info", "random_forest"]
 TREES = 100
 NEIGHBOURS = 3
+# Rows of a task of the forest, which keeps some 500 bytes for each: how often every tree draws it.
+FOREST_ROWS = 100_000
 
 
 @dataclass
@@ -133,12 +135,14 @@ def _within(counts: DataFrame, bounds: list[float], k: int) -> DataFrame:
 
 
 def forest_importance(df: DataFrame, features: Sequence[str], target: str, trees: int = TREES, seed: int = SEED) -> DataFrame:
-    """Impurity importances of a random forest over the complete rows."""
+    """Impurity importances of a random forest over the complete rows, dealt over tasks of at most about ``FOREST_ROWS`` rows."""
     names = validate_columns(df, features)
     labelled = label_encode(df.filter(as_column(target).isNotNull()), target)
     plain = labelled.select(F.col(f"{target}_index").cast("double").alias("label"), *[number(df, c).alias(f"x{i}") for i, c in enumerate(names)])
     vectors = VectorAssembler(inputCols=[f"x{i}" for i in range(len(names))], outputCol="features", handleInvalid="skip")
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(vectors.transform(plain).select("label", "features"))
+    rows = vectors.transform(plain).select("label", "features")
+    parts = math.ceil(df.count() / FOREST_ROWS)
+    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(rows.repartition(parts) if parts > 1 else rows)
     scores = [(c, float(model.featureImportances[i])) for i, c in enumerate(names)]
     return df.sparkSession.createDataFrame(scores, "feature string, importance double")
 
