@@ -87,9 +87,11 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, k: i
     rows = df.filter(as_column(target).isNotNull()).select(as_column(target).alias("y"), *[number(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("v")) for i in range(len(names))]))
     counts = rows.select("y", cells.alias("r")).select("y", "r.*").filter(F.col("v").isNotNull()).groupBy("f", "y", "v").agg(F.count("*").alias("n"))
+    # The only pass over the rows; all that follows reads the counted values.
+    counts = write_table(counts, "counted_values")
     sizes = counts.groupBy("f", "y").agg(F.sum("n").alias("ny")).filter("ny > 1")
     counts = write_table(lookup_join(counts, sizes, ["f", "y"], "inner").withColumn("k", F.least(F.lit(k), F.col("ny") - 1)), "class_values")
-    bounds = range_bounds(rows, {f"x{i}": F.col(f"x{i}") for i in range(len(names))}, bucket_rows)
+    bounds = range_bounds(counts, {f"x{i}": F.when(F.col("f") == i, F.col("v")) for i in range(len(names))}, bucket_rows)
     terms = None
     for i in range(len(names)):
         part = _within(counts.filter(F.col("f") == i), bounds[f"x{i}"], k)

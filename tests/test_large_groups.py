@@ -1,8 +1,9 @@
 """Groups so large that their pairs cannot be made one by one."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import matching, sample
+from tablewright.operators import features, matching, sample
 from tablewright.plans import files_queries
 from tablewright.plans.registry import Tables
 from tablewright.session import new_path
@@ -67,3 +68,11 @@ def test_splits_are_drawn_as_from_the_joined_rows(spark):
     got = files.read_data(spark, folder, class_balanced=True, max_train_samples=20)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert files.read_data(spark, folder, shuffle=False).columns == rows.columns
+
+
+def test_mutual_information_reads_the_rows_once(spark):
+    df, made = counted(spark, spark.range(4000).selectExpr("id * 37 % 101 / 8D AS a", "id % 17 AS b", "CAST(id * 5 % 3 AS STRING) AS y"))
+    got = {r["feature"]: r["importance"] for r in features.mutual_information(df, ["a", "b"], "y", bucket_rows=20).collect()}
+    assert made.value == 4000
+    whole = {r["feature"]: r["importance"] for r in features.mutual_information(df, ["a", "b"], "y").collect()}
+    assert got == pytest.approx(whole, rel=1e-9)
