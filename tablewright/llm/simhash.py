@@ -53,17 +53,17 @@ def simhash(text: bytes, width: int) -> int:
     return _ones(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, n))
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint) of each document, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint) of each document, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, starts in slices(batch):
                 raw = data.tobytes()
                 marks = [simhash(raw[a:b], width) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.record_batch([rows.column("doc_id"), pa.array(marks, pa.int64())], names=["doc_id", "fingerprint"])
+                yield pa.record_batch([rows.column(key), pa.array(marks, pa.int64())], names=[key, "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, fingerprint long")
 
 
 def _ball(bits: int, radius: int) -> list[int]:
@@ -214,6 +214,35 @@ def one_of_each_group(docs: DataFrame, width: int = 5, similarity: float = SIMIL
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     marks = write_table(minhash.marked(slim, width), "text_marks")
     groups = minhash.similar_groups(slim, marks, width, similarity, crowd)
+    return _first_of_groups(docs, marks, groups)
+
+
+def one_of_each_near(docs: DataFrame, width: int = 4, distance: int = 4, segments: int = 2) -> DataFrame:
+    """The documents with the smallest id of each group, with all their columns; what links two is either of
+
+    - fingerprints within the distance, as in :func:`near_duplicates`,
+    - similar sets of shingles, as in :func:`one_of_each_group`; these find copies with more changes than few bits show.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    marks = write_table(minhash.marked(slim, 5), "text_marks")
+    similar = minhash.similar_groups(slim, marks, 5, SIMILAR, GROUP)
+    # Equal texts have one set of shingles and one fingerprint, so a set stands for its texts.
+    prints = fingerprints(slim, width, "text_key").distinct()
+    sets = marks.select("id", "text_key").distinct().join(prints, "text_key").select("id", "fingerprint").distinct()
+    sets = write_table(sets, "fingerprints")
+    counts = write_table(sets.groupBy("fingerprint").agg(F.count("*").alias("n")), "distinct_fingerprints")
+    near = write_table(fingerprint_links(counts.select("fingerprint"), distance, segments), "near_fingerprints")
+    several = counts.where("n > 1").select("fingerprint").union(near.select("a")).union(near.select("b")).distinct()
+    sets = sets.join(several, "fingerprint", "left_semi")
+    # Fingerprints are nodes beside the sets; the mark keeps equal numbers apart.
+    node = lambda c: F.xxhash64(F.lit("fingerprint"), F.col(c))
+    links = similar.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = links.union(sets.select(F.col("id").alias("a"), node("fingerprint").alias("b"))).union(near.select(node("a").alias("a"), node("b").alias("b")))
+    return _first_of_groups(docs, marks, components(write_table(links, "links")))
+
+
+def _first_of_groups(docs: DataFrame, marks: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents with the smallest id of each group (node, root) of the ids of ``marks``; of repeated rows one."""
     named = marks.select("doc_id", "text_key", "id").join(groups, F.col("id") == F.col("node"), "left")
     kept = named.groupBy(F.coalesce("root", "id").alias("of")).agg(F.min(F.struct("doc_id", "text_key")).alias("k"))
     kept = write_table(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key")), "kept")
