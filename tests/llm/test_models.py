@@ -48,6 +48,53 @@ def test_slices_do_not_change_scores():
     np.testing.assert_allclose(whole, one, rtol=1e-5)
 
 
+def _toxic_rows(spark, texts):
+    """Documents of the learnt rows and their labels, from (text, toxic) pairs."""
+    ids = [r.id for r in spark.range(4 * len(texts)).withColumnRenamed("id", "doc_id").where(~toxicity.held_out()).selectExpr("doc_id id").sort("id").limit(len(texts)).collect()]
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in zip(ids, texts)], "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([(i, 1, y) for i, (_, y) in zip(ids, texts)], LABELS)
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """All labelled documents are counted, in any number of shards, and long ones are read whole."""
+    counted, begun, rounds = [], toxicity.beginning, []
+    monkeypatch.setattr(toxicity, "beginning", lambda seen, n, rng: (counted.append((seen[0].sum(), n.sum())), begun(seen, n, rng))[1])
+    mean = toxicity._round
+    monkeypatch.setattr(toxicity, "_round", lambda rows, net: (rounds.append(rows.select("shard").distinct().count()), mean(rows, net))[1])
+    monkeypatch.setattr(toxicity, "SHARD", 6000)
+    monkeypatch.setattr(toxicity, "LABEL_BLOCK", 9000)
+    n = 30_000
+    docs, labels = _toxic_rows(spark, [(f"vile w{i}" if i % 3 == 0 else f"w{i}", int(i % 3 == 0)) for i in range(n)])
+    model = toxicity.fit(docs, labels)
+    learnt = docs.where("pmod(xxhash64(doc_id, 'checked'), 5) <> 0")
+    assert counted == [(learnt.selectExpr("sum(size(split(text, ' ')))").first()[0], learnt.count())]
+    assert counted[0][1] > 0.78 * n and rounds == [4] * toxicity.EPOCHS
+    scored = toxicity.score_documents(docs, model).join(labels, "doc_id")
+    assert scored.where("predicted = toxic").count() > 0.99 * n
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    filler = "plain words go on " * 6000
+    docs, labels = _toxic_rows(spark, [(filler + ("vile" if i % 2 else "fine"), i % 2) for i in range(120)])
+    model = toxicity.fit(docs, labels)
+    assert model.constant is None
+    scored = toxicity.score_documents(docs, model).join(labels, "doc_id")
+    assert scored.where("predicted = toxic").count() > 110
+
+
+def test_pieces_of_a_long_document_have_its_strongest_windows(monkeypatch):
+    rng = np.random.default_rng(2)
+    net = toxicity.beginning([np.ones((2, toxicity.BUCKETS + 1))] * 2, np.array([2, 2]), rng)
+    documents = [rng.integers(0, 500, (n, 2)).astype(np.uint16) for n in (0, 1, 7, 20, 21, 22, 45, 400, 3)]
+    whole = toxicity.strongest(documents, net)
+    monkeypatch.setattr(toxicity, "PIECE_WORDS", 20)
+    pieces = toxicity.strongest(documents, net)
+    np.testing.assert_allclose(whole[0], pieces[0])
+    filled = whole[0].reshape(len(documents), len(toxicity.WIDTHS), toxicity.FILTERS) > 0
+    for k, (a, b) in enumerate(zip(whole[1], pieces[1])):
+        assert (a[filled[:, k]] == b[filled[:, k]]).all()
+
+
 def test_quality_on_labels_not_trained_on(spark):
     docs, labels = read(spark, "documents"), read(spark, "labels")
     known, apart = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
