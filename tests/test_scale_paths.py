@@ -164,6 +164,19 @@ def test_similar_texts_brute_force(spark, threshold):
     assert got == want
 
 
+def test_similar_texts_leaves_few_candidates(spark):
+    """Addresses that differ in a few digits: no match is lost, each candidate comes once, and most pairs are never looked at."""
+    rng = random.Random(17)
+    hosts = ["www.one", "m.one", "blog.two", "ünï.three", "数据.four"]
+    texts = sorted({f"https://{rng.choice(hosts)}.example.org/{rng.choice(['en', 'de'])}/{rng.randint(1, 99999)}.html?page={rng.randint(1, 3)}" for _ in range(700)})
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    want = {(a, b) for a in texts for b in texts if round(200 * strings._common_length(a, b) / (len(a) + len(b))) >= 95}
+    assert {(r.a, r.b) for r in strings.similar_texts(df, df, 0.95).collect()} == want
+    known = df.select("text", F.lit(3).alias("sides"), F.monotonically_increasing_id().alias("id"))
+    near = strings._near_pairs(known, 0.95 - strings.ROUNDING).collect()
+    assert len(near) == len(set(near)) and len(near) < 2 * len(want) and len(near) < len(texts) ** 2 / 40
+
+
 def test_fuzzy_match_columns_brute_force(spark):
     rng = random.Random(13)
     rows = [(i, "".join(rng.choice("xyz") for _ in range(5)), rng.choice(["red", "rod", "green"])) for i in range(80)]
