@@ -236,6 +236,18 @@ def test_hot_keys_on_both_sides_are_dealt_over_tasks(spark):
             assert got.agg(F.count("*"), F.sum(F.xxhash64("k", "x", "y").cast("decimal(30,0)"))).first() == want
 
 
+def test_copies_of_a_hot_key_grow_as_its_rows(spark, monkeypatch):
+    """Ten times the rows have a hundred times the pairs, but only ten times the copies that are shuffled to make them."""
+    grids = []
+    monkeypatch.setattr(joins, "bounded", lambda df, keep=joins.bounded: grids.append(df.collect()) or keep(df))
+    copies = []
+    for n in (10_000, 100_000):
+        a, b = spark.range(n).selectExpr("1L AS k", "id AS x"), spark.range(n).selectExpr("1L AS j", "id AS y")
+        joins.dealt_join(a, b, {"k": "j"}, 100)
+        copies.append(sum(n * (r["_rows"] + r["_cols"]) for r in grids[-1]))
+    assert copies[0] < copies[1] <= 11 * copies[0]
+
+
 def test_few_hot_rows_meet_a_long_side(spark):
     a, b = spark.range(2000).selectExpr("1L AS k", "id AS x"), spark.range(3).selectExpr("1L AS j", "id AS y")
     got = joins.dealt_join(a, b, {"k": "j"}, 100)
