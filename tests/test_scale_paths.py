@@ -305,6 +305,20 @@ def test_tfidf_pairs_equal_all_pairs_at_several_thresholds(spark):
         assert got.keys() == {p for p, s in cosine.items() if s >= threshold} and all(s == pytest.approx(cosine[p]) for p, s in got.items())
 
 
+def test_rows_of_few_matching_texts_are_dealt_over_tasks(spark, monkeypatch):
+    """Two texts a side with 600 rows each: the pairs of their rows do not come from the one task that holds the pair of texts."""
+    monkeypatch.setattr(strings, "TASK_ROWS", 20_000, raising=False)
+    monkeypatch.setattr(joins, "CELL_PAIRS", 20_000)
+    word = F.when(F.col("id") % 2 == 0, "red round thing").otherwise("blue square stone")
+    left, right = (spark.range(1200).select(F.col("id").alias(k), word.alias("text")).unionByName(spark.createDataFrame([(-1, None), (-2, own)], f"{k} long, text string")) for k, own in (("a", "Thing round, RED"), ("b", "none such")))
+    got = strings.tfidf_match_tables(left, right, ["text"], 0.9)
+    assert got.columns == ["a_1", "text_1", "b_2", "text_2", "similarity"]
+    rows = got.withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(rows) == 2 * 600 * 600 + 600 and not rows.duplicated(["a_1", "b_2"]).any()
+    assert (rows.similarity.round(9) == 1).all() and ((rows.a_1 - rows.b_2) % 2 == 0)[rows.a_1 >= 0].all() and (rows.b_2[rows.a_1 < 0] % 2 == 0).all()
+    assert rows.groupby("task").size().max() < len(rows) / 6
+
+
 def test_knn_of_many_patterns_is_one_search(spark):
     """Six columns with holes: over fifty combinations of missing columns, and no more jobs than for two."""
     rng = np.random.default_rng(6)
