@@ -305,6 +305,17 @@ def test_tfidf_pairs_equal_all_pairs_at_several_thresholds(spark):
         assert got.keys() == {p for p, s in cosine.items() if s >= threshold} and all(s == pytest.approx(cosine[p]) for p, s in got.items())
 
 
+def test_few_joined_heads_of_texts_that_do_not_match_are_kept(spark):
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(2000)}" for _ in range(60)) for _ in range(150)]
+    texts += [f"{t} w{draw.randrange(2000)}" for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = strings.word_postings(df, "id", "text", 0.8).localCheckpoint()
+    heads = rows.filter("head").groupBy("token").count().selectExpr("sum(count * (count - 1) / 2) AS n").first()["n"]
+    met = strings._joined_heads(rows, rows, F.col("id_1") < F.col("id_2"), 0.8).select("id_1", "id_2").collect()
+    assert len(met) < 0.7 * heads and {(i, 150 + i) for i in range(10)} <= {(r["id_1"], r["id_2"]) for r in met}
+
+
 def test_rows_of_few_matching_texts_are_dealt_over_tasks(spark, monkeypatch):
     """Two texts a side with 600 rows each: the pairs of their rows do not come from the one task that holds the pair of texts."""
     monkeypatch.setattr(strings, "TASK_ROWS", 20_000, raising=False)
