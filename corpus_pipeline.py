@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm import decontam, packing, quality, secrets, simhash
-from tablewright.session import write_table
+from tablewright.session import bound_batches, write_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,14 +23,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash.one_of_each_near(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontam.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import new_path
+from ..session import bound_batches, new_path
 from .textbytes import slices
 from .tokens import encoder
 
@@ -142,6 +142,7 @@ def pack_documents(
     the corpus, which then holds in every window. There is one queue a source, and the driver knows one total a queue.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path = new_path(spark, "token_ids")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
     kinds = "part int, source string, doc_id long, ahead long, n long, ids binary"

@@ -42,7 +42,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, size: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < size:
-        steps = np.full(max(size, SLICE_BYTES), base, np.uint64)
+        steps = np.full(max(-(-size // 65536), 1) * 65536, base, np.uint64)
         steps[0] = 1
         held = np.multiply.accumulate(steps)
         if len(held) <= 4 * SLICE_BYTES:
@@ -60,7 +60,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Running polynomial of the bytes; :func:`segment_hash` takes it."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters()[data] * _power(_BASE, len(data)), out=sums[1:])
+    terms = sums[1:]
+    np.take(_letters(), data, out=terms, mode="clip")  # in place, as these are the largest arrays of a slice
+    terms *= _power(_BASE, len(data))
+    np.cumsum(terms, out=terms)
     return sums
 
 

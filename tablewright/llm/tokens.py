@@ -16,6 +16,7 @@ import pandas as pd
 from .textbytes import prefix_sums, segment_hash
 
 HELD_PIECES = 2_000_000  # pieces that a worker remembers; beyond it starts afresh
+ENCODED_AT_ONCE = 4096  # pieces given to the tokenizer at a time, as each result takes about a KB until its ids are read
 
 
 _OTHER, _LETTER, _MARK, _QUOTE, _BLANK = range(5)
@@ -53,13 +54,17 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        ids = self.plain([piece.decode() for piece in pieces])
+        counts, ids = [], []
+        for i in range(0, len(pieces), ENCODED_AT_ONCE):
+            part = self.plain([piece.decode() for piece in pieces[i : i + ENCODED_AT_ONCE]])
+            counts.append(np.fromiter(map(len, part), np.int64, len(part)))
+            ids.append(np.fromiter(chain.from_iterable(part), self.dtype))
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         self.keys = np.insert(self.keys, at, keys[order])
         self.place = np.insert(self.place, at, len(self.first) - 1 + order)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), self.dtype)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data``, and how many each text has."""
