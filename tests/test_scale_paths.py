@@ -248,6 +248,24 @@ def test_copies_of_a_hot_key_grow_as_its_rows(spark, monkeypatch):
     assert copies[0] < copies[1] <= 11 * copies[0]
 
 
+@pytest.mark.parametrize("most", [1 << 30, 0])
+def test_hot_rows_are_sent_where_they_are_few_and_dealt_in_blocks_else(spark, monkeypatch, most):
+    """Keys that are hot on either side, a missing one among them: the same pairs, and no row is copied before a shuffle where rows are sent."""
+    monkeypatch.setattr(joins, "SENT_BYTES", most, raising=False)
+    monkeypatch.setattr(joins, "SENT_AT_ONCE", 20_000, raising=False)
+    monkeypatch.setattr(joins, "COPIES", 2, raising=False)
+    monkeypatch.setattr(joins, "TASK_ROWS", 5_000, raising=False)
+    key = "CASE WHEN id < {n} THEN NULL WHEN id < {m} THEN 'many' WHEN id < {o} THEN 'few' ELSE concat('c', id % 50) END AS {k}"
+    a = spark.range(1500).selectExpr(key.format(n=300, m=1000, o=1020, k="k"), "id % 400 AS x")
+    b = spark.range(900).selectExpr("id % 350 AS y", key.format(n=250, m=280, o=800, k="j"), "array(id, id) AS z")
+    rows = [F.count("*"), F.sum(F.xxhash64("k", "x", "j", "y", "z").cast("decimal(30,0)"))]
+    for null_equal in (True, False):
+        same = F.col("k").eqNullSafe(F.col("j")) if null_equal else F.col("k") == F.col("j")
+        got = joins.dealt_join(a, b, {"k": "j"}, 100, null_equal)
+        assert got.columns == ["k", "x", "y", "j", "z"] and got.agg(*rows).first() == a.join(b, same).agg(*rows).first()
+        assert ("sequence(0" in got._jdf.queryExecution().toString()) is not bool(most)
+
+
 def test_few_hot_rows_meet_a_long_side(spark):
     a, b = spark.range(2000).selectExpr("1L AS k", "id AS x"), spark.range(3).selectExpr("1L AS j", "id AS y")
     got = joins.dealt_join(a, b, {"k": "j"}, 100)
