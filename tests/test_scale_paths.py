@@ -323,6 +323,38 @@ def test_tfidf_pairs_equal_all_pairs_at_several_thresholds(spark):
         assert got.keys() == {p for p, s in cosine.items() if s >= threshold} and all(s == pytest.approx(cosine[p]) for p, s in got.items())
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_tfidf_pairs_are_found_inside_the_tasks(spark, monkeypatch, small):
+    """No pair is joined or shuffled before it matches; blocks of texts and of words, repeated and missing keys give what the SQL gives."""
+    import duckdb
+
+    from tablewright.plans.catalog import ORACLES
+    from tablewright.plans.registry import rounded
+
+    def joined(*args, **kwargs):
+        raise AssertionError("tokens joined with tokens")
+
+    monkeypatch.setattr(strings, "dealt_join", joined)
+    if small:
+        for name, value in (("BLOCK_TOKENS", 700), ("WORDS_AT_ONCE", 60), ("COMPARED_AT_ONCE", 50), ("HEAVY", 5), ("RARE_SHARE", 0.02)):
+            monkeypatch.setattr(strings, name, value, raising=False)
+    draw = random.Random(5)
+    words = [f"w{int(draw.paretovariate(0.7)) % 400}" for _ in range(3000)]
+    texts = [" ".join(draw.choices(words, k=draw.choice([1, 4, 30, 90]))) for _ in range(150)]
+    texts += [f"{t}, {draw.choice(words)}" for t in texts[:70]] + texts[:9] + ["", "!!", None]
+    ids = [i if i % 17 else None for i in range(len(texts))]
+    ids[40:46] = [7, 7, 50, 50, 90, 90]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", list(zip(ids, texts)))
+        want = con.execute(ORACLES["tfidf_match"]).fetchall()
+    got = [tuple(r) for r in rounded(strings.tfidf_match(df, "doc_id", "text", 0.8)).collect()]
+    assert len(want) > 60 and sorted(r[:4] for r in got) == sorted(r[:4] for r in want)
+    assert [r[4] for r in sorted(got)] == pytest.approx([r[4] for r in sorted(want)], abs=2e-6)
+    assert strings.tfidf_match(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_few_joined_heads_of_texts_that_do_not_match_are_kept(spark):
     draw = random.Random(12)
     texts = [" ".join(f"w{draw.randrange(2000)}" for _ in range(60)) for _ in range(150)]
